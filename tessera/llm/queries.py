@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import lm, packing
 from .jaccard import jaccard_components
 
 
@@ -13,6 +15,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held(n: int, k: int) -> Column:
+    """Rows whose crc32(doc_id as text) leaves the remainder ``k`` modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n == k
+
+
+def tokenizer_path() -> str:
+    """The byte-level BPE tokenizer's file, as installed on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the log-bilinear model, and the smoothed unigram base."""
+    got = lm.score(_read(spark, sf_dir, "documents"), ~_held(7, 2))
+    return got.select("doc_id", _held(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 ids."""
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles reach a Jaccard similarity of 0.85."""
     return jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
@@ -20,6 +45,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_log_bilinear": op2_log_bilinear,
+        "op5_packing": op5_packing,
         "op6_jaccard_join": op6_jaccard_join,
     }
 
