@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, packing
+from . import license, lm, packing, warc
 from .jaccard import jaccard_components
 
 
@@ -33,6 +33,11 @@ def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", _held(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures in all documents."""
+    return license.scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
@@ -43,11 +48,19 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records: written, normalised to one member each, and read back."""
+    got = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_log_bilinear": op2_log_bilinear,
+        "op4_license_scan": op4_license_scan,
         "op5_packing": op5_packing,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_warc": op7_warc,
     }
 
 
