@@ -33,9 +33,9 @@ from .components import components
 from .shared import cut, semi_by_id
 
 #: Coordinates of a point.
-DIMS = 32
+DIMS = 128
 #: Ratio of a size class's bounds.
-RATIO = 2.0
+RATIO = 1.25
 
 
 def _classes(percent: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def _signatures(g: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     while True:
         most = int(bounds[k + 1]) - 1
         d = int(_differing(2 * most, percent))
-        groups = d + 1 + (3 * d + 19) // 20
+        groups = d + 1 + (d + 11) // 12
         at = (g >> np.uint64(20)) % np.uint64(groups)
         total = np.zeros(groups, np.uint64)
         count = np.bincount(at.astype(np.int64), minlength=groups)
@@ -167,6 +167,13 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, doc_id, comp) of the buckets in which ``rows(key, doc_id)`` meet documents of several components."""
+    own = cut(rows.join(comps, rows.doc_id == comps.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "rows")
+    several = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return own.join(several, "key")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -192,24 +199,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         x = pairs.join(counts.toDF("a", "na", "ca"), "a").join(counts.toDF("b", "nb", "cb"), "b")
         return x.where(_enough(_bound("ca", "cb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
-    # 3. Everyone against the leader of each bucket.
+    # 3. Everyone against the leader of each bucket: its smallest id, then its largest.
     led = cut(bounded(met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()), "pairs")
     links = cut(verify(led, docs, k, percent), "links")
-    comps = cut(components(links), "components")
+    own = cut(_mixed(met.select("key", "doc_id"), components(links)), "own")
+    last = own.groupBy("key").agg(F.max(F.struct("doc_id", "comp")).alias("last"))
+    second = own.join(last, "key").where("comp != last.comp").select(F.col("doc_id").alias("a"), F.col("last.doc_id").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+    second = cut(bounded(second), "pairs")
+    links = cut(links.union(verify(second, docs, k, percent)), "links")
+    tried = led.union(second)
     # 4. Buckets that hold several components: boxes, then their members.
-    own = met.join(comps, met.doc_id == comps.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    left = cut(own.join(mixed, "key").join(counts, "doc_id"), "left")
+    left = cut(_mixed(own.select("key", "doc_id"), components(links)).join(counts, "doc_id"), "left")
     box = F.array(*[F.max(F.col("counts")[i]) for i in range(DIMS)])
     nodes = left.groupBy("key", "comp").agg(F.min("n").alias("n"), box.alias("box"), F.count("*").alias("size"), F.min("doc_id").alias("only"))
-    x, y = nodes.select("key", *[F.col(c).alias(f"{c}_x") for c in ("comp", "n", "box", "size", "only")]), nodes.select("key", *[F.col(c).alias(f"{c}_y") for c in ("comp", "n", "box", "size", "only")])
-    opened = x.join(y, (x.key == y.key) & (x.comp_x < y.comp_y) & _enough(_bound("box_x", "box_y"), F.col("n_x"), F.col("n_y"), percent)).select(x.key, "comp_x", "comp_y", "size_x", "size_y", "only_x", "only_y")
-    opened = cut(opened, "opened")
-    single = opened.where("size_x = 1 and size_y = 1").select(F.col("only_x").alias("a"), F.col("only_y").alias("b"))
-    m = left.select("key", "doc_id", "comp")
-    wide = opened.where("size_x > 1 or size_y > 1").join(m.toDF("key", "a", "comp_x"), ["key", "comp_x"]).join(m.toDF("key", "b", "comp_y"), ["key", "comp_y"]).select("a", "b")
-    rest = single.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    more = verify(cut(bounded(rest), "pairs"), docs, k, percent)
+    parts = ("comp", "n", "box", "size", "only")
+    x, y = nodes.select("key", *[F.col(c).alias(f"{c}_x") for c in parts]), nodes.select("key", *[F.col(c).alias(f"{c}_y") for c in parts])
+    # The side with fewer members is opened first, so that only it is expanded before the bound is tested.
+    smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("comp_x") < F.col("comp_y")))
+    opened = x.join(y, (x.key == y.key) & (x.comp_x != y.comp_y) & smaller & _enough(_bound("box_x", "box_y"), F.col("n_x"), F.col("n_y"), percent))
+    opened = cut(opened.select(x.key, "comp_x", "comp_y", "size_y", "only_x", "only_y"), "opened")
+    single = opened.where("size_y = 1").select(F.col("only_x").alias("a"), F.col("only_y").alias("b"))
+    few = opened.where("size_y > 1").select("key", "comp_x", "comp_y").join(left.toDF("a", "key", "comp_x", "na", "ca"), ["key", "comp_x"])
+    many = left.toDF("b", "key", "comp_y", "nb", "cb")
+    wide = few.join(many, (few.key == many.key) & (few.comp_y == many.comp_y) & _enough(_bound("ca", "cb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    rest = single.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = verify(rest, docs, k, percent)
     # 5. All links, including the classes' own.
     final = cut(components(links.select("a", "b").union(more)), "components")
     got = members.join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
