@@ -16,9 +16,11 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -42,14 +44,30 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Ids whose text begins with a space or line end: in a run of words each word has one, at its start.
+        vocab = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t[:1] in "\u0120\u010a"]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         many = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in many]
+        return [np.array(e.ids, "<u4").tobytes() for e in many]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each begin with their space or line end, many encoded as one text."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 2000):
+            own = words[lo : lo + 2000]
+            ids = np.array(self.tok.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)] if len(at) == len(own) + 1 else self._ids(own)
+        return out
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -67,7 +85,7 @@ class Encoder:
             body = w[1:] if w[:1] == "\n" else w
             if body and not any(c.isspace() or "\x1c" <= c <= "\x1f" or c == "\x85" for c in body) and SPECIAL not in body:
                 good.append(w)
-        for w, ids in zip(good, self._ids([w if w[0] == "\n" else " " + w for w in good]), strict=True):
+        for w, ids in zip(good, self._words([w if w[0] == "\n" else " " + w for w in good]), strict=True):
             known[w] = ids
         first = self._ids([c[0] for c in cut_up])
         out: list[bytes | None] = []

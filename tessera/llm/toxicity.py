@@ -83,36 +83,49 @@ def _hits(look: Lookup, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return both % max(1, len(look.keys)), both // max(1, len(look.keys))
 
 
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier, by Adam on the non-negative risk."""
+def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 150, batch: int = 512, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights (kept non-negative: features were chosen as signs of toxicity) and bias, by Adam on the
+    non-negative risk."""
     rng = np.random.default_rng(seed)
     k = x_pos.shape[1]
+    x_pos, x_unl = x_pos.astype(np.float32), x_unl.astype(np.float32)
     w = np.zeros(k + 1)
-    w[-1] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
+    w[-1] = -2.0
     m, v, t = np.zeros(k + 1), np.zeros(k + 1), 0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     steps = max(1, len(x_unl) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(x_unl))
         for i in range(steps):
-            xu = x_unl[order[i * batch : (i + 1) * batch]].astype(np.float64)
-            xp = x_pos[rng.integers(0, len(x_pos), batch)].astype(np.float64)
+            xu = x_unl[order[i * batch : (i + 1) * batch]]
+            xp = x_pos[rng.integers(0, len(x_pos), batch)]
             zp, zu = xp @ w[:k] + w[k], xu @ w[:k] + w[k]
-            # Logistic loss: d l(z) = sig(z) - 1, d l(-z) = sig(z).
+            # Logistic loss: its slope at z is sig(z) - 1 for a positive and sig(z) for a negative.
             rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             gu, gp = sig(zu) / len(zu), -prior * sig(zp) / len(zp)
-            back = rest < 0
             own = prior * (sig(zp) - 1) / len(zp)
-            cp, cu = (own + gp, gu) if not back else (-gp, -gu)
+            cp, cu = (own + gp, gu) if rest >= 0 else (-gp, -gu)
             g = np.concatenate([xp.T @ cp + xu.T @ cu, [cp.sum() + cu.sum()]])
-            g[:k] += decay * w[:k]
             t += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w[:k] = np.maximum(w[:k], 0)
     return w[:k], float(w[k])
 
 
+def shift(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> float:
+    """The threshold with the least non-negative risk of the 0-1 loss; the middle of the widest range of ties."""
+    cuts = np.unique(np.concatenate([z_pos, z_unl]))
+    middle = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
+    hit = 1 - np.searchsorted(np.sort(z_pos), middle) / len(z_pos)
+    taken = 1 - np.searchsorted(np.sort(z_unl), middle) / len(z_unl)
+    risk = prior * (1 - hit) + np.maximum(0, taken - prior * hit)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    gap = np.concatenate([[0], cuts[1:] - cuts[:-1], [0]])
+    return float(middle[best[gap[best].argmax()]])
+
+
 class Model:
     """Chosen features, their weights and the bias; without features every score is ``sigmoid(bias)``."""
 
@@ -120,7 +133,7 @@ class Model:
         self.keys, self.weights, self.bias = keys, weights, bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None, top: int = 1024, max_positive: int = 4000, max_unlabelled: int = 8000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None, top: int = 256, max_positive: int = 4000, max_unlabelled: int = 8000) -> Model:
     """Fit on rows of ``docs(doc_id, text)`` for which ``train`` holds and ``labels(doc_id, toxic)`` confirms or not.
 
     ``prior`` defaults to the share of toxic among the labelled training rows. Several labels of a
@@ -138,21 +151,24 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "positive")
     sizes = {bool(r[0]): r[1] for r in texts.groupBy("positive").count().collect()}
     n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_pos or not n_unl:
+    if not n_pos or not n_unl or not prior:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    # Features that are surer in the positives than in the unlabelled documents.
+    # Features whose share among the positives is many times that among the negatives, as the prior tells it.
     p, u = F.col("pos") / n_pos, F.col("unl") / n_unl
-    both = (F.col("pos") + F.col("unl") + 1) / (n_pos + n_unl + 2)
-    z = (p - u) / F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl))
-    best = _counts(texts).where(F.col("pos") >= 2).orderBy(F.desc(z), "h").limit(top).select("h").toPandas()
+    clean = F.greatest(u - F.lit(prior) * p, F.lit(0.0)) / (1 - min(prior, 0.99))
+    ratio = p / (clean + 1.0 / n_unl)
+    best = _counts(texts).where((F.col("pos") >= 3) & (ratio >= 20)).orderBy(F.desc(p * F.log(ratio)), "h").limit(top).select("h").toPandas()
     keys = best["h"].to_numpy().astype(np.int64).view(np.uint64)
     rows = _present(texts, keys).toPandas()
     x = np.zeros((len(rows), max(1, len(keys))), np.uint8)
     for i, has in enumerate(rows["has"]):
         x[i, has] = 1
     positive = rows["positive"].to_numpy().astype(bool)
-    w, bias = fit(x[positive], x[~positive], prior)
-    return Model(keys, w[: len(keys)], bias)
+    if not len(keys):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+    w, _ = fit(x[positive], x[~positive], prior)
+    z = x @ w
+    return Model(keys, w, -shift(z[positive], z[~positive], prior))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

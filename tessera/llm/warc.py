@@ -214,7 +214,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_bytes"])
 
     ranges = index.groupBy("path", F.floor(F.col("number") / RECORDS).alias("block")).agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("size")).alias("end")).select("path", "start", "end")
-    return ranges.mapInArrow(run, READ)
+    # The rows are few and small but each stands for a long read: they are dealt out by number.
+    many = min(20_000, max(1, index.count() // RECORDS))
+    return ranges.repartition(many, "path", "start").mapInArrow(run, READ)
 
 
 class _Stream:
