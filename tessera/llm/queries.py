@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license, lm, packing, warc
+from . import fingerprint, license, lm, packing, quality, toxicity, warc
 from .jaccard import jaccard_components
 
 
@@ -27,6 +27,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", _held(5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from positive and unlabelled ones outside the held-out fifth."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _read(spark, sf_dir, "labels"), ~_held(5, 0))
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the rule ensemble, learned outside the held-out fifth."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, _read(spark, sf_dir, "labels"), ~_held(5, 0))
+    return _judged(quality.score(docs, rules), 0.3)
+
+
 def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under the log-bilinear model, and the smoothed unigram base."""
     got = lm.score(_read(spark, sf_dir, "documents"), ~_held(7, 2))
@@ -54,13 +72,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with likenesses."""
+    return fingerprint.versions(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_log_bilinear": op2_log_bilinear,
+        "op3_quality": op3_quality,
         "op4_license_scan": op4_license_scan,
         "op5_packing": op5_packing,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_warc": op7_warc,
+        "op9_fingerprints": op9_fingerprints,
     }
 
 
