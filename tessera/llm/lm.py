@@ -204,7 +204,15 @@ def score(docs: DataFrame, train: Column, sample_docs: int = 4000, frequent: int
     counts = cut(word_counts(docs.where("train")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, v_all = int(total[0]), int(total[1])
-    top = counts.orderBy(F.desc("n"), "h").limit(frequent).toPandas()
+    # The most frequent words: whole classes of counts from the top, as many as fit in the bound.
+    level = F.floor(F.log2("n") * 8)
+    room, lowest = frequent, 1 << 30
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        lowest = row["level"]
+    top = counts.where(level >= lowest).select("h", "n").toPandas().sort_values(["n", "h"], ascending=[False, True])
     known = top["h"].to_numpy().astype(np.int64).view(np.uint64)
     known_n = top["n"].to_numpy().astype(np.int64)
     own = np.concatenate([[END], known[known != END][: OWN - 1]])

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license, lm, packing, quality, toxicity, warc
+from . import decontaminate, fingerprint, license, lm, packing, quality, sharding, toxicity, warc
 from .jaccard import jaccard_components
+from .shared import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,11 +73,28 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards, compacted, and read back through the newest manifest."""
+    docs = _read(spark, sf_dir, "documents")
+    shards = sharding.Shards(spark, shared_dir(spark, "shards"))
+    first = shards.append(docs)
+    newest = shards.compact()
+    if newest > first:
+        shards.vacuum(first)
+    name = F.substring_index("shard_path", "/", -1).alias("shard")
+    return shards.read(docs.schema).select("doc_id", name, "level", "shard_rows", "row_in_shard", F.octet_length("text").cast("long").alias("text_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with likenesses."""
     return fingerprint.versions(_read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, word for word or re-parameterised."""
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -86,7 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_warc": op7_warc,
+        "op8_sharding": op8_sharding,
         "op9_fingerprints": op9_fingerprints,
+        "op10_decontamination": op10_decontamination,
     }
 
 
