@@ -23,14 +23,14 @@ PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD}
 _LITERAL = r'(?s)^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^(.+))?$'
 
 
-def expand(term: str, prefixes: dict[str, str]) -> str:
-    """A term as users write it: ``?var``, ``a``, ``<iri>``, ``prefix:name``, ``"text"`` with its suffixes.
+def expand(term: str, prefixes: dict[str, str], predicate: bool = False) -> str:
+    """A term as users write it: ``?var``, ``<iri>``, ``prefix:name``, ``"text"`` with its suffixes, predicate ``a``.
 
     A prefix that is not known stays as it is: ``c:42`` is then an IRI of the scheme ``c``.
     """
     if term.startswith(("?", "_:")):
         return term
-    if term == "a":
+    if term == "a" and predicate:
         return TYPE
     if term.startswith("<") and term.endswith(">"):
         return term[1:-1]

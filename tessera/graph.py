@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.terms import PREFIXES
+from .functions.terms import PREFIXES, expand
 from .operators import match
 from .operators.inference import added, closed, content
-from .plans.query import Path, Query
+from .operators.paths import relation
+from .plans.query import Path, Query, as_path
 
 
 class Graph:
@@ -23,10 +24,8 @@ class Graph:
 
     @staticmethod
     def of(spark: SparkSession, rows: list[tuple[str, str, str]], graph: str = "main", prefixes: dict[str, str] | None = None) -> Graph:
-        from .functions.terms import expand
-
         known = PREFIXES | (prefixes or {})
-        return Graph(spark.createDataFrame([(graph, *(expand(t, known) for t in r)) for r in rows], "graph string, s string, p string, o string"), prefixes)
+        return Graph(spark.createDataFrame([(graph, expand(s, known), expand(p, known, True), expand(o, known)) for s, p, o in rows], "graph string, s string, p string, o string"), prefixes)
 
     def query(self, where, select=(), graphs=(), unions=()) -> Query:
         """The query with its terms expanded, ready to send elsewhere as JSON."""
@@ -52,25 +51,22 @@ class Graph:
 
     def out_edges(self, s: str, p: str | None = None) -> DataFrame:
         t = self.triples.where(F.col("s") == self._x(s))
-        return t if p is None else t.where(F.col("p") == self._x(p))
+        return t if p is None else t.where(F.col("p") == expand(p, self.prefixes, True))
 
     def in_edges(self, o: str, p: str | None = None) -> DataFrame:
         t = self.triples.where(F.col("o") == self._x(o))
-        return t if p is None else t.where(F.col("p") == self._x(p))
+        return t if p is None else t.where(F.col("p") == expand(p, self.prefixes, True))
 
     def predicates(self, node: str) -> DataFrame:
         x = self._x(node)
         return self.triples.where((F.col("s") == x) | (F.col("o") == x)).select("p").distinct()
 
     def endpoints(self, p: str) -> DataFrame:
-        return self.triples.where(F.col("p") == self._x(p)).select("graph", "s", "o").distinct()
+        return self.triples.where(F.col("p") == expand(p, self.prefixes, True)).select("graph", "s", "o").distinct()
 
     def relation(self, path: Path | str) -> DataFrame:
         """All pairs that a path joins."""
-        from .operators.paths import relation
-        from .plans.query import as_path
-
-        return relation(self.triples, as_path(path).map(self._x))
+        return relation(self.triples, as_path(path).map(lambda t: expand(t, self.prefixes, True)))
 
     def closed(self) -> Graph:
         """With everything that follows from inverse predicates and equal subjects."""
@@ -96,6 +92,4 @@ class Graph:
             yield rows
 
     def _x(self, t: str) -> str:
-        from .functions.terms import expand
-
         return expand(t, self.prefixes)

@@ -85,7 +85,8 @@ def bindings(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
 def resolve(query: Query, prefixes: dict[str, str]) -> Query:
     """The query with every term expanded."""
     x = lambda t: terms.expand(t, prefixes)
-    group = lambda ps: [Pattern(x(p.s), p.p.map(x), x(p.o)) for p in ps]
+    step = lambda t: terms.expand(t, prefixes, predicate=True)
+    group = lambda ps: [Pattern(x(p.s), p.p.map(step), x(p.o)) for p in ps]
     return Query.of(group(query.where), query.select, query.graphs, [[group(g) for g in u] for u in query.unions])
 
 
