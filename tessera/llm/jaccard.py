@@ -25,15 +25,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
 from .shared import cut, semi_by_id
 
-#: Coordinates of a point.
+#: Coordinates of a point: numbers of shingles in as many groups.
 DIMS = 128
+#: Counts up to CAP are also kept as runs of bits, of which WORDS 64-bit words hold all coordinates. The
+#: minimum of two such counts is the number of common bits, the maximum over a box is their union.
+CAP = 16
+WORDS = DIMS * CAP // 64
 #: Ratio of a size class's bounds.
 RATIO = 1.25
 
@@ -87,12 +91,12 @@ def _signatures(g: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-SETS = "doc_id long, n int, k1 long, k2 long, counts array<int>, keys array<long>"
+SETS = "doc_id long, n int, k1 long, k2 long, bits array<long>, over int, counts array<smallint>, keys array<long>"
 
 
 def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per document: set size, a 128-bit hash of the set, group counts and bucket keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.list_(pa.int64())), ("over", pa.int32()), ("counts", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _classes(percent)
@@ -109,13 +113,18 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     counts.append(np.bincount((own & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS))
                     keys.append(_signatures(own, percent, bounds).view(np.int64))
                 spots = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                count = np.stack(counts)
+                bits = ((np.int64(1) << np.minimum(count, CAP)) - 1).astype("<u2").view("<i8")
+                steps = lambda size: pa.array(np.arange(0, size * len(n) + 1, size, dtype=np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
                         pa.array(np.array(n, np.int32)),
                         pa.array(np.array(k1, np.uint64).view(np.int64)),
                         pa.array(np.array(k2, np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, DIMS * len(n) + 1, DIMS, dtype=np.int32)), pa.array(np.concatenate(counts).astype(np.int32))),
+                        pa.ListArray.from_arrays(steps(WORDS), pa.array(bits.ravel())),
+                        pa.array(np.maximum(count - CAP, 0).sum(1).astype(np.int32)),
+                        pa.ListArray.from_arrays(steps(DIMS), pa.array(np.minimum(count, 2**15 - 1).ravel().astype(np.int16))),
                         pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate(keys))),
                     ],
                     schema=schema,
@@ -124,14 +133,33 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
 
-def _enough(inter, na, nb, percent: int):
+def _enough(inter: Column, na: Column, nb: Column, percent: int) -> Column:
     """The overlap that a linked pair needs, as a condition on columns."""
     return inter * (100 + percent) >= (na + nb) * percent
 
 
-def _bound(x: str, y: str):
-    """Most overlap that two points or boxes can have: the summed minima of their coordinates."""
-    return sum((F.least(F.col(x)[i], F.col(y)[i]) for i in range(1, DIMS)), F.least(F.col(x)[0], F.col(y)[0]))
+def _bound(x: str, y: str) -> Column:
+    """Most overlap that two points or boxes can have, by their bits: the summed minima of the coordinates."""
+    common = sum((F.bit_count(F.col(f"bits{x}")[i].bitwiseAND(F.col(f"bits{y}")[i])) for i in range(1, WORDS)), F.bit_count(F.col(f"bits{x}")[0].bitwiseAND(F.col(f"bits{y}")[0])))
+    return common + F.least(f"over{x}", f"over{y}")
+
+
+def _bound_long(x: str, y: str) -> Column:
+    """The same bound of two points by their counts, for long texts whose counts go beyond the bits.
+
+    A count that is at its type's end may be larger, so such a pair is not bounded.
+    """
+    pairs = [(F.col(f"counts{x}")[i], F.col(f"counts{y}")[i]) for i in range(DIMS)]
+    full = F.array_max(f"counts{x}") == 2**15 - 1
+    return F.when(full, F.lit(2**31 - 1)).otherwise(sum((F.least(a, b).cast("int") for a, b in pairs[1:]), F.least(*pairs[0]).cast("int"))).cast("long")
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two points can be linked, by their sizes and coordinates."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    sizes = (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
+    short = (F.col(f"over{x}") == 0) | (F.col(f"over{y}") == 0)
+    return sizes & _enough(_bound(x, y), nx, ny, percent) & (short | _enough(_bound_long(x, y), nx, ny, percent))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,11 +221,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = points.select("doc_id", F.explode("keys").alias("key"))
     full = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
     met = cut(rows.join(full, "key"), "met")
-    counts = s.select("doc_id", "n", "counts")
+    point = s.select("doc_id", "n", "bits", "over", "counts")
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}{x}") for c in df.columns])
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(counts.toDF("a", "na", "ca"), "a").join(counts.toDF("b", "nb", "cb"), "b")
-        return x.where(_enough(_bound("ca", "cb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+        x = pairs.join(side(point, "_x"), F.col("a") == F.col("doc_id_x")).join(side(point, "_y"), F.col("b") == F.col("doc_id_y"))
+        return x.where(_may_link("_x", "_y", percent)).select("a", "b")
 
     # 3. Everyone against the leader of each bucket: its smallest id, then its largest.
     led = cut(bounded(met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()), "pairs")
@@ -209,19 +238,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = cut(links.union(verify(second, docs, k, percent)), "links")
     tried = led.union(second)
     # 4. Buckets that hold several components: boxes, then their members.
-    left = cut(_mixed(own.select("key", "doc_id"), components(links)).join(counts, "doc_id"), "left")
-    box = F.array(*[F.max(F.col("counts")[i]) for i in range(DIMS)])
-    nodes = left.groupBy("key", "comp").agg(F.min("n").alias("n"), box.alias("box"), F.count("*").alias("size"), F.min("doc_id").alias("only"))
-    parts = ("comp", "n", "box", "size", "only")
-    x, y = nodes.select("key", *[F.col(c).alias(f"{c}_x") for c in parts]), nodes.select("key", *[F.col(c).alias(f"{c}_y") for c in parts])
+    left = cut(_mixed(own.select("key", "doc_id"), components(links)).join(point, "doc_id"), "left")
+    box = F.array(*[F.bit_or(F.col("bits")[i]) for i in range(WORDS)])
+    nodes = left.groupBy("key", "comp").agg(F.min("n").alias("n"), box.alias("bits"), F.max("over").alias("over"), F.count("*").alias("size"), F.min("doc_id").alias("only"))
+    x, y = side(nodes, "_x"), side(nodes, "_y")
     # The side with fewer members is opened first, so that only it is expanded before the bound is tested.
     smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("comp_x") < F.col("comp_y")))
-    opened = x.join(y, (x.key == y.key) & (x.comp_x != y.comp_y) & smaller & _enough(_bound("box_x", "box_y"), F.col("n_x"), F.col("n_y"), percent))
-    opened = cut(opened.select(x.key, "comp_x", "comp_y", "size_y", "only_x", "only_y"), "opened")
-    single = opened.where("size_y = 1").select(F.col("only_x").alias("a"), F.col("only_y").alias("b"))
-    few = opened.where("size_y > 1").select("key", "comp_x", "comp_y").join(left.toDF("a", "key", "comp_x", "na", "ca"), ["key", "comp_x"])
-    many = left.toDF("b", "key", "comp_y", "nb", "cb")
-    wide = few.join(many, (few.key == many.key) & (few.comp_y == many.comp_y) & _enough(_bound("ca", "cb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    opened = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & smaller & _enough(_bound("_x", "_y"), F.col("n_x"), F.col("n_y"), percent))
+    opened = cut(opened.select("key_x", "comp_x", "comp_y", "size_y", "only_x", "only_y"), "opened")
+    single = cut(bounded(opened.where("size_y = 1").select(F.col("only_x").alias("a"), F.col("only_y").alias("b")).distinct()), "single")
+    few = opened.where("size_y > 1").select("key_x", "comp_x", F.col("comp_y").alias("other")).join(side(left, "_x"), ["key_x", "comp_x"])
+    wide = few.join(side(left, "_y"), (F.col("key_x") == F.col("key_y")) & (F.col("other") == F.col("comp_y")) & _may_link("_x", "_y", percent)).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
     rest = single.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = verify(rest, docs, k, percent)
