@@ -25,7 +25,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: A text without any of these (in any case) matches no rule.
-ANCHORS = ["licen", "copyright", "spdx", "public domain", "rights reserved", "hereby granted", "redistribut", "gpl", "commons", "cc0", "wtfpl", "without warrant"]
+ANCHORS = ["licen", "copyright", "spdx", "public domain", "rights reserved", "hereby granted", "redistribut", "gpl", "commons", "cc0", "wtfpl", "noninfringement", "endorse", "cddl", "bsd", "without permission"]
 CC_ANCHOR = r"(?i)(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)(?![a-zA-Z0-9])"
 
 #: (label, keyword, name phrases). A version's digits are words of their own.

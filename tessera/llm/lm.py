@@ -149,6 +149,9 @@ def fit(seqs: list[np.ndarray], end: int, dims: int = 24, noise: int = 64, epoch
     share = (np.bincount(c, minlength=CLASSES) + 0.5) / (len(c) + 0.5 * CLASSES)
     bias = np.log(share).astype(f)
     if len(c):
+        # Small samples get small batches and more rounds, so that there are some hundred steps.
+        batch = min(batch, max(128, len(c) // 50))
+        epochs = max(epochs, min(30, 600 * batch // len(c)))
         first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
         one, two = contexts(c, first, end)
         log_noise = np.log(noise * share).astype(f)
