@@ -117,7 +117,7 @@ def windows(table: DataFrame, id_col: str, keep: bytes | None = None) -> DataFra
 
 def bitmap(marks: DataFrame) -> bytes:
     """The filter: a bit for each value of h modulo BITS; at most BITS numbers reach the driver."""
-    at = np.array([r[0] for r in marks.select(F.expr(f"cast(h & {BITS - 1} as int)").alias("b")).distinct().collect()], np.int64)
+    at = marks.select(F.expr(f"cast(h & {BITS - 1} as int)").alias("b")).distinct().toPandas()["b"].to_numpy().astype(np.int64)
     bits = np.zeros(BITS // 8, np.uint8)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits.tobytes()

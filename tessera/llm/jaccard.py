@@ -205,10 +205,12 @@ def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
-    ``doc_id`` must not repeat. Null, empty and blank texts have no shingles, link with nothing and are
+    A row for each distinct id: rows without a doc_id are left out, equal rows count once (an id with several
+    texts belongs to the components of all of them). Null, empty and blank texts have no shingles, link with nothing and are
     their own component. Texts of fewer than ``k`` words are one shingle. Equal texts always share a
     component. Other columns are ignored. An empty table gives no rows.
     """
+    docs = docs.where("doc_id is not null")
     s = cut(sets(docs, k, percent), "sets")
     # 1. Classes of equal sets.
     classes = s.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
@@ -255,4 +257,4 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # 5. All links, including the classes' own.
     final = cut(components(links.select("a", "b").union(more)), "components")
     got = members.join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return got.join(s.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "doc_id").select("doc_id", "n_shingles", "component_id")
+    return got.join(s.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "doc_id").select("doc_id", "n_shingles", "component_id").distinct()

@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of at most this many ids are sent to every executor; more are shuffled.
-BROADCAST_IDS = 500_000
-
-
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests on one machine) a temporary folder is set once.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_base, "local", None)
-        if base is None:
-            base = shared_base.local = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return base.rstrip("/")
+from ..functions.shared import cut, shared_base, shared_dir
 
+__all__ = ["BROADCAST_IDS", "cut", "semi_by_id", "shared_base", "shared_dir"]
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_base(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The new frame has no lineage before the written files, so a lost executor costs a re-read only.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of at most this many ids are sent to every executor; more are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

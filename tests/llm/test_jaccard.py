@@ -66,3 +66,8 @@ def test_chain_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (3, 2)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, 4, 85).collect())) == [(1, 3, 1), (2, 3, 1)]
