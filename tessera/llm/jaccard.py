@@ -221,8 +221,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # 2. Buckets of more than one document; equal sets count once.
     points = semi_by_id(s.where("n > 0"), copies, "doc_id", "left_anti")
     rows = points.select("doc_id", F.explode("keys").alias("key"))
-    full = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
-    met = cut(rows.join(full, "key"), "met")
+    full = rows.groupBy("key").count().where("count > 1").select("key")
+    met = cut(rows.join(full, "key", "left_semi"), "met")
+    met = met.join(met.groupBy("key").agg(F.min("doc_id").alias("lead")), "key")
     point = s.select("doc_id", "n", "bits", "over", "counts")
     side = lambda df, x: df.select(*[F.col(c).alias(f"{c}{x}") for c in df.columns])
 
