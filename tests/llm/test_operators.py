@@ -238,3 +238,13 @@ def test_decontamination(spark):
     assert (11, 1) not in got or got[11, 1] == "same"
     assert decontaminate.contaminated(df.where("false"), bench).count() == 0
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
+
+
+def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
+    from tessera.llm import shared
+
+    rows, ids = spark.range(20).toDF("doc_id"), spark.range(5).toDF("doc_id")
+    for bound in (2, 100):
+        monkeypatch.setattr(shared, "BROADCAST_IDS", bound)
+        assert shared.semi_by_id(rows, ids, "doc_id").count() == 5
+        assert shared.semi_by_id(rows, ids, "doc_id", "left_anti").count() == 15
