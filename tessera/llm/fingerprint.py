@@ -60,7 +60,8 @@ def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         nth = np.arange(len(d)) - np.repeat(start, np.diff(np.append(start, len(d))))
         keys.append(tx.mix(d + nth.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F)))
         sizes.append(np.bincount(o, minlength=n))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate([[0], *[np.cumsum(x) for x in [np.concatenate(sizes)]]]) if sizes else np.zeros(1, np.int64)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), first
 
 
 Cells = tuple[np.ndarray, np.ndarray, np.ndarray]

@@ -28,8 +28,7 @@ _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_MARK = ~(tx.NOT_ALNUM ^ True)
-_MARK &= ~tx.SPACE
+_MARK = tx.NOT_ALNUM & ~tx.SPACE
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+<=>@[]^_`{|}~\\/"]] = True
 
