@@ -167,14 +167,11 @@ class _File:
                 if self.next[1] != ",":
                     break
                 self.take()
+            more = False
             while self.next[1] == ";":
                 self.take()
-                if self.next[1] in (".", "]", ";"):
-                    continue
-                break
-            else:
-                return
-            if self.next[1] in (".", "]"):
+                more = True
+            if not more or self.next[1] in (".", "]"):
                 return
 
     def read(self) -> list[tuple[str, str, str]]:
