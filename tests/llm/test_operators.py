@@ -92,6 +92,34 @@ def test_class_table_is_normalised():
     assert table[1, 0, 2] > table[1, 0, 3]
 
 
+def test_network_learns_from_all_training_documents(spark):
+    texts = [" ".join(["ping pong"] * 3) if i % 2 else "alpha beta gamma" for i in range(4200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), TEXTS).repartition(3)
+    ids = {w: i for i, w in enumerate(["\0", "ping", "pong", "alpha", "beta", "gamma"])}
+    own = np.array([lm.END, *lm.tx.hash_words(np.frombuffer(b"ping pong alpha beta gamma", np.uint8), np.array([0, 26]))[0]])
+    size = lm.own_words(len(own))
+    got = {r.cell: r.n for r in lm.class_counts(docs, own, size).collect()}
+    want, k = Counter(), size + lm.ENDINGS
+    for t in texts:
+        c = [0, 0, *[ids[w] for w in t.split()], 0]
+        want.update((c[i - 1] * k + c[i - 2]) * k + c[i] for i in range(2, len(c)))
+    assert got == want
+    # A word order that only documents beyond any first 4,000 by hash have shapes the scores.
+    last = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").toPandas()["doc_id"][4000:].tolist()
+    texts = ["one two three four"] * 4200
+    for i in last:
+        texts[i] = "six seven " * 40
+    more = [(9000, "six seven six seven six seven"), (9001, "six six seven seven six six")]
+    df = spark.createDataFrame(list(enumerate(texts)) + more, TEXTS).repartition(3)
+    rows = {r.doc_id: r for r in lm.score(df, F.col("doc_id") < 9000).where("doc_id >= 9000").collect()}
+    assert rows[9000].score > rows[9001].score + 1
+
+
+def test_own_words_grow_with_the_vocabulary():
+    assert lm.own_words(0) == lm.own_words(1000) == lm.OWN
+    assert lm.OWN < lm.own_words(10**7) < lm.own_words(10**9)
+
+
 # Classifiers.
 def _labelled(spark, bad: str):
     r = random.Random(5)
