@@ -3,8 +3,9 @@
 Words become template tokens: numbers, names (capitalised words within a sentence) and units (unit words
 behind a number) are replaced by typed placeholders, their values kept as slots. Windows of templates, and
 of the plain words in lower case, of documents and of benchmark items are joined by hash. For each pair of a document and an item the windows
-must cover enough of the item, and where slot values differ, one item value must stand for one document
-value throughout: a re-parameterised question changes its numbers and names, but consistently.
+must cover enough of the item, and where slot values differ, one document value must stand for one item
+value throughout an occurrence: a re-parameterised question changes its numbers and names, but consistently.
+Two item values may become equal, and other occurrences of the item in the document may have other values.
 
 Documents are filtered before the join by a bitmap of the benchmark's window hashes, whose size is fixed.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -24,6 +25,8 @@ from .shared import cut
 U = np.uint64
 #: Words of a window, and how many of them must not be placeholders.
 WINDOW, LITERALS = 8, 4
+#: Words that a replaced value may have more or less than the item's within one occurrence.
+GAP = 3
 #: Bits of the filter (2 MiB): a constant, whatever the benchmark's size.
 BITS = 1 << 24
 
@@ -127,21 +130,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, r
     """(doc_id, item_id, item_windows, windows, same_windows, kind) for documents that hold benchmark items.
 
     An item is held if at least ``coverage`` of its windows, or ``run_windows`` of them, are in the
-    document: with the same words (kind same), or with consistently replaced ones (kind template).
+    document: with the same words (kind same), or with consistently replaced ones (kind template). For a
+    template any occurrence will do: windows of one shift between document and item, those of
+    neighbouring shifts (values of more or fewer words), or all of the document's.
     Items of equal text count as the one with the smallest id. Null and empty texts hold nothing. Ids
     must not repeat; rows of a null id are left out. Either table may be empty.
     """
     items = benchmark.where("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     marks = cut(windows(items, "item_id").select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "marks")
     total = marks.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
-    found = windows(docs, "doc_id", bitmap(marks)).select(F.col("id").alias("doc_id"), "h", "plain", "slots")
-    hits = cut(found.join(marks, "h").select("doc_id", "item_id", "item_pos", "plain", "slots", "item_slots"), "hits")
+    found = windows(docs, "doc_id", bitmap(marks)).select(F.col("id").alias("doc_id"), "h", "pos", "plain", "slots")
+    hits = cut(found.join(marks, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "plain", "slots", "item_slots"), "hits")
     per = hits.groupBy("doc_id", "item_id", "item_pos").agg(F.max(F.col("plain").cast("int")).alias("same")).groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.sum("same").alias("same_windows"))
-    # One item value, one document value, and the other way round.
-    pairs = hits.where(F.size("slots") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).select("doc_id", "item_id", F.col("p.item_slots").alias("x"), F.col("p.slots").alias("y")).distinct()
-    split = pairs.groupBy("doc_id", "item_id", "x").agg(F.count("*").alias("n")).union(pairs.groupBy("doc_id", "item_id", "y").agg(F.count("*").alias("n")))
-    torn = split.groupBy("doc_id", "item_id").agg((F.max("n") > 1).alias("torn"))
     enough = lambda c: (F.col(c) >= F.lit(coverage) * F.col("item_windows")) | (F.col(c) >= run_windows)
-    got = per.join(total, "item_id").join(torn, ["doc_id", "item_id"], "left")
-    kind = F.when(enough("same_windows"), "same").when(enough("windows") & ~F.coalesce("torn", F.lit(False)), "template")
-    return got.withColumn("kind", kind).where("kind is not null").select("doc_id", "item_id", "item_windows", "windows", "same_windows", "kind")
+    got = per.join(total, "item_id")
+    # Occurrences that may be templates: (0, 0) all of a document's windows, (1, band of shifts), (2, shift).
+    pair = ["doc_id", "item_id"]
+    open_ = hits.join(got.where(enough("windows") & ~enough("same_windows")).select(*pair, "item_windows"), pair)
+    by_shift = Window.partitionBy(*pair).orderBy("shift")
+    bands = open_.select(*pair, "shift").distinct().withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(by_shift) > GAP, F.lit(True))).select(*pair, "shift", F.sum(F.col("new").cast("long")).over(by_shift).alias("band"))
+    place = lambda level, c: F.struct(F.lit(level).alias("level"), c.cast("long").alias("key"))
+    own = [*pair, "at"]
+    spots = open_.join(bands, [*pair, "shift"]).withColumn("at", F.explode(F.array(place(0, F.lit(0)), place(1, F.col("band")), place(2, F.col("shift")))))
+    # Within an occurrence, one document value for an item value.
+    pairs = spots.where(F.size("slots") > 0).select(*own, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).select(*own, F.col("p.item_slots").alias("x"), F.col("p.slots").alias("y")).distinct()
+    torn = pairs.groupBy(*own, "x").agg(F.count("*").alias("n")).where("n > 1").select(*own).distinct()
+    whole = spots.groupBy(*own, "item_windows").agg(F.countDistinct("item_pos").alias("n")).where(enough("n")).join(torn, own, "left_anti").select(*pair, F.lit(True).alias("held")).distinct()
+    kind = F.when(enough("same_windows"), "same").when(F.col("held"), "template")
+    return got.join(whole, pair, "left").withColumn("kind", kind).where("kind is not null").select("doc_id", "item_id", "item_windows", "windows", "same_windows", "kind")

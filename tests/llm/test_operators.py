@@ -268,6 +268,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+ITEM = "If Jim has 30 apples and gives 7 kg of apples to Lisa then how many apples are left for Jim today"
+
+
+def _kinds(spark, docs: list[str], bench: list[str]) -> dict:
+    table = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string")
+    return {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(table(docs, "doc_id"), table(bench, "item_id")).collect()}
+
+
+def test_templates_are_judged_by_occurrence(spark):
+    new = lambda jim, a, b, lisa: ITEM.replace("Jim", jim).replace("30", a).replace("7", b).replace("Lisa", lisa)
+    twice = "First the red team counts 4 red and 5 blue stones by hand. Then the red team counts 6 red and 8 blue stones by hand"
+    docs = [
+        new("Tom", "12", "5", "Eve") + ". Next question. " + new("Bob", "44", "9", "Ann"),
+        new("Tom", "12", "5", "Eve") + ". Some words between them. As said, Jim has 30 apples and gives 7 kg of apples",
+        new("Tom", "12", "12", "Eve"),
+        twice.replace("4", "14").replace("5", "15").replace("6", "16").replace("8", "18"),
+        new("Tom", "12", "5", "Eve").replace("kg of", "kg of red"),
+        new("Tom", "12", "5", "Eve").replace("for Tom", "for Bob"),
+    ]
+    got = _kinds(spark, docs, [ITEM, twice])
+    assert got == {(0, 0): "template", (1, 0): "template", (2, 0): "template", (3, 1): "template", (4, 0): "template"}
+
+
 def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
     from tessera.llm import shared
 
