@@ -291,6 +291,19 @@ def test_templates_are_judged_by_occurrence(spark):
     assert got == {(0, 0): "template", (1, 0): "template", (2, 0): "template", (3, 1): "template", (4, 0): "template"}
 
 
+def test_short_and_number_dense_items(spark):
+    short, asked = "why do wise owls look so calm", "how many days does Jim stay"
+    dense = "Add 3 4 5 6 7 8 9 2 to 11 12 13 14 15 16 17 18 and tell me the sum of all these numbers in order"
+    docs = [
+        "a page. " + short.upper() + "? and many more words behind the question here",
+        "Some words stand before it all: " + asked.replace("Jim", "Tom") + " and others behind it too",
+        short,
+        "why do wise owls look so very calm in the night of the day",
+        dense.translate(str.maketrans("123456789", "234567891")),
+    ]
+    assert _kinds(spark, docs, [short, asked, dense]) == {(0, 0): "same", (1, 1): "template", (2, 0): "same", (4, 2): "template"}
+
+
 def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
     from tessera.llm import shared
 
