@@ -1,43 +1,45 @@
-"""N-gram Jaccard join: hashed token groups, boxes of group counts, and exact verification.
+"""N-gram Jaccard join: hashed token groups, trees of group counts, and exact verification.
 
 A document is a set of word shingles. Two documents are linked if ``100 * |A n B| >= percent * |A u B|``.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
 2. Shingles are hashed into groups. Sets that are this similar differ in at most D shingles, so of more
-   than D filled groups at least one has equal content in both: its content hash is their meeting place
-   (a bucket). The number of groups depends on the size class only, so partners agree on it.
-3. In every bucket the smallest id leads. All members are compared with their leader: a number of pairs
-   in proportion to the rows, also in the largest groups of near copies. Links give components.
-4. Buckets that still hold several components are searched as a tree of count boxes: a node is a
-   component in a bucket, its box the largest count of each coordinate and its smallest size. Summed
-   coordinate minima bound the overlap of two nodes; nodes that could hold a linked pair are opened, and
-   the same bound on the members' own counts thins the pairs.
-5. Each surviving pair is verified on its whole texts.
-
-A plain tree over all points cannot be split over machines: with few coordinates all documents of one
-length overlap, with many the boxes do. The equal-content buckets are the partition of the points.
+   than D filled groups at least one has equal content in both: its content hash is their meeting place.
+   The number of groups depends on the size class only, so partners agree on it. The smallest id of a
+   meeting place is its root; all documents that meet a root make one tree, so what many meeting places
+   repeat is one member there.
+3. A point is a document's vector of group counts; the summed minima of two points' coordinates bound
+   their overlap. Every member is compared with its root: a number of pairs in proportion to the rows,
+   also in the largest groups of near copies. Links give components.
+4. Trees that still hold several components are searched: members are bulk-loaded into tiles of bounded
+   bytes, and each pair of tiles is one group of rows. In it, nodes of a few points have the largest count
+   of each coordinate as upper corner; pairs of nodes whose summed minima reach the needed overlap are
+   opened, and pairs of points of different components that reach it survive.
+5. Surviving pairs are verified on their whole texts.
+
+One tree over all points would not do: with few coordinates all documents of one length overlap, with many
+the upper corners of unrelated points do. The roots are the partition of the points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
 from .shared import cut, semi_by_id
 
-#: Coordinates of a point: numbers of shingles in as many groups.
-DIMS = 128
-#: Counts up to CAP are also kept as runs of bits, of which WORDS 64-bit words hold all coordinates. The
-#: minimum of two such counts is the number of common bits, the maximum over a box is their union.
-CAP = 16
-WORDS = DIMS * CAP // 64
+#: Members of a root, or partners in verification, that one group of rows holds at most (about).
+STAR = 4096
+#: Bytes of counts in a tile, and points of a node.
+TILE, NODE = 2 << 20, 16
+#: Parts of a class of equal sets in which its copies are looked up.
+SALTS = 64
 #: Ratio of a size class's bounds.
 RATIO = 1.25
 
@@ -91,12 +93,16 @@ def _signatures(g: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-SETS = "doc_id long, n int, k1 long, k2 long, bits array<long>, over int, counts array<smallint>, keys array<long>"
+SETS = "doc_id long, n int, k1 long, k2 long, counts binary, keys array<long>"
+
+
+def _dims(n: int) -> int:
+    """Coordinates of a point of ``n`` shingles: a power of two, so that more of them fold onto fewer."""
+    return max(16, 1 << int(n).bit_length())
 
 
 def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document: set size, a 128-bit hash of the set, group counts and bucket keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.list_(pa.int64())), ("over", pa.int32()), ("counts", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+    """Per document: set size, a 128-bit hash of the set, group counts (a byte each, 255 for more) and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _classes(percent)
@@ -110,152 +116,249 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     n.append(len(own))
                     k1.append(own.sum(dtype=np.uint64))
                     k2.append(np.bitwise_xor.reduce(tx.mix(own ^ np.uint64(0x1D8E4E27C47D124F))) if len(own) else np.uint64(0))
-                    counts.append(np.bincount((own & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS))
+                    dims = _dims(len(own))
+                    counts.append(np.minimum(np.bincount((own & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 255).astype(np.uint8).tobytes())
                     keys.append(_signatures(own, percent, bounds).view(np.int64))
                 spots = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                count = np.stack(counts)
-                bits = ((np.int64(1) << np.minimum(count, CAP)) - 1).astype("<u2").view("<i8")
-                steps = lambda size: pa.array(np.arange(0, size * len(n) + 1, size, dtype=np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
                         pa.array(np.array(n, np.int32)),
                         pa.array(np.array(k1, np.uint64).view(np.int64)),
                         pa.array(np.array(k2, np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(steps(WORDS), pa.array(bits.ravel())),
-                        pa.array(np.maximum(count - CAP, 0).sum(1).astype(np.int32)),
-                        pa.ListArray.from_arrays(steps(DIMS), pa.array(np.minimum(count, 2**15 - 1).ravel().astype(np.int16))),
+                        pa.array(counts, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate(keys))),
                     ],
-                    schema=schema,
+                    names=["doc_id", "n", "k1", "k2", "counts", "keys"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
 
-def _enough(inter: Column, na: Column, nb: Column, percent: int) -> Column:
-    """The overlap that a linked pair needs, as a condition on columns."""
-    return inter * (100 + percent) >= (na + nb) * percent
+def _fold(points: np.ndarray, dims: int) -> np.ndarray:
+    """Counts of ``points`` (rows) in ``dims`` coordinates."""
+    if points.shape[1] == dims:
+        return points
+    folded = points.reshape(len(points), -1, dims).sum(1, dtype=np.uint16)
+    return np.minimum(folded, 255).astype(np.uint8)
+
+
+class Points:
+    """Points in the same coordinates: counts, set sizes, and what the counts don't tell of the sizes."""
+
+    def __init__(self, counts: list[np.ndarray], n: np.ndarray, dims: int):
+        self.counts = np.concatenate([_fold(c[None, :], dims) for c in counts])
+        self.n = n.astype(np.int64)
+        self.over = self.n - self.counts.sum(1, dtype=np.int64)
+
+    def nodes(self) -> Points:
+        """Upper corners of NODE points each, with the smallest size: what bounds the node bounds its points."""
+        out = object.__new__(Points)
+        at = np.arange(0, len(self.n), NODE)
+        out.counts, out.n, out.over = np.maximum.reduceat(self.counts, at), np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.over, at)
+        return out
 
 
-def _bound(x: str, y: str) -> Column:
-    """Most overlap that two points or boxes can have, by their bits: the summed minima of the coordinates."""
-    common = sum((F.bit_count(F.col(f"bits{x}")[i].bitwiseAND(F.col(f"bits{y}")[i])) for i in range(1, WORDS)), F.bit_count(F.col(f"bits{x}")[0].bitwiseAND(F.col(f"bits{y}")[0])))
-    return common + F.least(f"over{x}", f"over{y}")
+def may_link(x: Points, i: slice, y: Points, j: np.ndarray | slice, percent: int) -> np.ndarray:
+    """Whether points (or nodes) ``i`` of ``x`` and ``j`` of ``y`` can be linked, by their summed minima."""
+    bound = np.minimum(x.counts[i][:, None, :], y.counts[j][None, :, :]).sum(2, dtype=np.int64) + np.minimum(x.over[i][:, None], y.over[j][None, :])
+    return bound * (100 + percent) >= (x.n[i][:, None] + y.n[j][None, :]) * percent
 
 
-def _bound_long(x: str, y: str) -> Column:
-    """The same bound of two points by their counts, for long texts whose counts go beyond the bits.
+def search(x: Points, cx: np.ndarray, y: Points, cy: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of two tiles (``same``: of one) that can be linked and are of different components.
 
-    A count that is at its type's end may be larger, so such a pair is not bounded.
+    Nodes are compared first; only pairs of nodes that reach the overlap are opened.
     """
-    pairs = [(F.col(f"counts{x}")[i], F.col(f"counts{y}")[i]) for i in range(DIMS)]
-    full = F.array_max(f"counts{x}") == 2**15 - 1
-    return F.when(full, F.lit(2**31 - 1)).otherwise(sum((F.least(a, b).cast("int") for a, b in pairs[1:]), F.least(*pairs[0]).cast("int"))).cast("long")
+    bx, by = x.nodes(), y.nodes()
+    step = max(1, (1 << 22) // max(1, by.counts.size))
+    left, right = [], []
+    for lo in range(0, len(bx.n), step):
+        upper, lower = np.nonzero(may_link(bx, slice(lo, lo + step), by, slice(None), percent))
+        for node in np.unique(upper):
+            at = (lo + node) * NODE
+            own = slice(at, min(at + NODE, len(x.n)))
+            others = (lower[upper == node][:, None] * NODE + np.arange(NODE)).ravel()
+            others = others[others < len(y.n)]
+            wide = max(1, (1 << 22) // (NODE * y.counts.shape[1]))
+            for begin in range(0, len(others), wide):
+                part = others[begin : begin + wide]
+                fine = may_link(x, own, y, part, percent) & (cx[own][:, None] != cy[part][None, :])
+                i, j = np.nonzero(fine)
+                left.append(at + i)
+                right.append(part[j])
+    i, j = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
+    if same:
+        i, j = i[i < j], j[i < j]
+    return i, j
+
+
+def _stars(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (a, part, follows, doc_id, ...columns of ``table``) dealt out and sorted by group: a root's row
+    first, then the rows of its partners b. Groups of more than STAR partners are several parts."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "b")
+    rows = dealt.select("a", "part", F.lit(True).alias("follows"), F.col("b").alias("doc_id")).union(dealt.select("a", "part", F.lit(False), F.col("a")).distinct())
+    return rows.join(table, "doc_id").select("a", "part", "follows", *table.columns).repartition("a", "part").sortWithinPartitions("a", "part", "follows")
+
+
+class Roots:
+    """The root's rows of the group at hand: one, or several if its id has several texts."""
+
+    def __init__(self):
+        self.key: list = []
+        self.of: list[tuple] = []
+
+    def add(self, key: list, row: tuple) -> None:
+        if key != self.key:
+            self.key, self.of = key, []
+        if not any(all(np.array_equal(x, y) for x, y in zip(row, old, strict=True)) for old in self.of):
+            self.of.append(row)
+
+
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs(a, b)`` whose points ``points(doc_id, n, counts)`` can be linked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near(size: int, root: np.ndarray, n: int, own: np.ndarray) -> bool:
+            if n * 100 < size * percent or size * 100 < n * percent:
+                return False
+            both = Points([root, own], np.array([size, n]), min(len(root), len(own)))
+            return bool(may_link(both, slice(0, 1), both, slice(1, 2), percent)[0, 0])
+
+        roots = Roots()
+        for b in batches:
+            n, counts = b.column(4).to_pylist(), _vectors(b.column(5))
+            keep = np.zeros(b.num_rows, bool)
+            for i, (follows, *key) in enumerate(zip(*[b.column(c).to_pylist() for c in (2, 0, 1)], strict=True)):
+                if follows:
+                    keep[i] = any(near(*root, n[i], counts[i]) for root in roots.of)
+                else:
+                    roots.add(key, (n[i], counts[i].copy()))
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(3).take(at)], names=["a", "b"])
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """Whether two points can be linked, by their sizes and coordinates."""
-    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
-    sizes = (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
-    short = (F.col(f"over{x}") == 0) | (F.col(f"over{y}") == 0)
-    return sizes & _enough(_bound(x, y), nx, ny, percent) & (short | _enough(_bound_long(x, y), nx, ny, percent))
+    return _stars(pairs, points.select("doc_id", "n", "counts")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    """The byte vectors of a binary column, without copies."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return [data[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` that are linked, by their whole texts."""
+    """Those of the distinct (a, b) of ``pairs`` that are linked, by their whole texts.
+
+    A text is sent once for each pair that has it as b, and once for a group of partners as a.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(semi_by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id"), "texts")
+    texts = semi_by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(root: np.ndarray, own: np.ndarray) -> bool:
+            inter = len(np.intersect1d(root, own, assume_unique=True))
+            return inter > 0 and 100 * inter >= percent * (len(root) + len(own) - inter)
+
+        roots = Roots()
+        for b in batches:
+            a, part, follows = (b.column(c).to_pylist() for c in range(3))
+            keep = np.zeros(b.num_rows, bool)
+            for lo, hi, data, offsets in tx.chunks(b.column(4)):
+                h, first = tx.hash_words(data, offsets)
+                g, spot = tx.shingles(h, first, k)
+                for i in range(lo, hi):
+                    own = np.unique(g[spot[i - lo] : spot[i - lo + 1]])
+                    if follows[i]:
+                        keep[i] = any(linked(root, own) for (root,) in roots.of)
+                    else:
+                        roots.add([a[i], part[i]], (own,))
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(3).take(at)], names=["a", "b"])
+
+    return _stars(pairs, texts).mapInArrow(run, "a long, b long").distinct()
+
+
+def grown(trees: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of members of one of ``trees(root, doc_id, comp)`` that can be linked by their
+    points and are of different components."""
+    mixed = trees.groupBy("root").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("root")
+    own = cut(trees.join(mixed, "root").join(points.select("doc_id", "n", "counts"), "doc_id"), "members")
+    tiles = own.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("counts")) / TILE)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    placed = own.join(tiles, "root").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cols = ["root", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("right"), "comp", "n", "doc_id", "counts"]
+    dealt = placed.select(*cols).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "right", "comp", "n")
+
+    def pairs(rows: list[tuple], same: bool) -> pa.RecordBatch:
+        dims = min(len(r[4]) for r in rows)
+        sides = [[r for r in rows if not r[0]], [r for r in rows if r[0]]]
+        made = [(Points([r[4] for r in s], np.array([r[2] for r in s]), dims), np.array([r[1] for r in s]), np.array([r[3] for r in s])) for s in (sides[:1] * 2 if same else sides) if s]
+        if len(made) < 2:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        (x, cx, ix), (y, cy, iy) = made
+        i, j = search(x, cx, y, cy, same, percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ix[i], iy[j])), pa.array(np.maximum(ix[i], iy[j]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
+        held: list[tuple] = []
+        key: tuple | None = None
         for b in batches:
-            found: dict[int, np.ndarray] = {}
-            for id_, txt in ((0, 2), (1, 3)):
-                ids = b.column(id_).to_numpy()
-                _, at = np.unique(ids, return_index=True)
-                at = np.array([i for i in at if ids[i] not in found and ids[i] not in last], np.int64)
-                own = b.column(txt).take(pa.array(at))
-                for lo, hi, data, offsets in tx.chunks(own):
-                    h, first = tx.hash_words(data, offsets)
-                    g, spot = tx.shingles(h, first, k)
-                    for i in range(hi - lo):
-                        found[int(ids[at[lo + i]])] = np.unique(g[spot[i] : spot[i + 1]])
-            known = last | found
-            last = found
-            a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            keep = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(a.tolist(), c.tolist(), strict=True)):
-                p, q = known[x], known[y]
-                inter = len(np.intersect1d(p, q, assume_unique=True))
-                keep[i] = 100 * inter >= percent * (len(p) + len(q) - inter) and inter > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], names=["a", "b"])
-
-    both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, doc_id, comp) of the buckets in which ``rows(key, doc_id)`` meet documents of several components."""
-    own = cut(rows.join(comps, rows.doc_id == comps.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "rows")
-    several = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return own.join(several, "key")
+            keys = zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)
+            rows = zip(*[b.column(i).to_pylist() for i in range(3, 7)], [v.copy() for v in _vectors(b.column(7))], strict=True)
+            for own_key, row in zip(keys, rows, strict=True):
+                if own_key != key:
+                    if held:
+                        yield pairs(held, key[1] == key[2])
+                    held, key = [], own_key
+                held.append(row)
+        if held:
+            yield pairs(held, key[1] == key[2])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def equal_sets(s: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n, rep): the smallest id with the same set, for rows of ``s`` that have shingles.
+
+    Classes are looked up in parts, so that no class of copies meets in one task.
+    """
+    own = s.where("n > 0").select("doc_id", "k1", "k2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    cls = ["k1", "k2", "n"]
+    parts = own.groupBy(*cls, "salt").agg(F.min("doc_id").alias("low"))
+    reps = parts.join(parts.groupBy(*cls).agg(F.min("low").alias("rep")), cls).select(*cls, "salt", "rep")
+    return own.join(reps, [*cls, "salt"]).select("doc_id", *cls, "rep").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
     A row for each distinct id: rows without a doc_id are left out, equal rows count once (an id with several
-    texts belongs to the components of all of them). Null, empty and blank texts have no shingles, link with nothing and are
-    their own component. Texts of fewer than ``k`` words are one shingle. Equal texts always share a
-    component. Other columns are ignored. An empty table gives no rows.
+    texts belongs to the components of all of them). Null, empty and blank texts have no shingles, link with
+    nothing and are their own component. Texts of fewer than ``k`` words are one shingle. Equal texts always
+    share a component. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.where("doc_id is not null")
     s = cut(sets(docs, k, percent), "sets")
     # 1. Classes of equal sets.
-    classes = s.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    members = cut(
-        s.where("n > 0").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", "rep").union(s.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"))), "members"
-    )
-    copies = members.where("doc_id != rep").select("doc_id")
-    # 2. Buckets of more than one document; equal sets count once.
-    points = semi_by_id(s.where("n > 0"), copies, "doc_id", "left_anti")
+    members = cut(equal_sets(s), "members")
+    # 2. Meeting places of more than one set, and the trees of their roots.
+    points = semi_by_id(s.where("n > 0"), members.where("doc_id != rep").select("doc_id", "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"], "left_anti")
     rows = points.select("doc_id", F.explode("keys").alias("key"))
-    full = rows.groupBy("key").count().where("count > 1").select("key")
-    met = cut(rows.join(full, "key", "left_semi"), "met")
-    met = met.join(met.groupBy("key").agg(F.min("doc_id").alias("lead")), "key")
-    point = s.select("doc_id", "n", "bits", "over", "counts")
-    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}{x}") for c in df.columns])
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(side(point, "_x"), F.col("a") == F.col("doc_id_x")).join(side(point, "_y"), F.col("b") == F.col("doc_id_y"))
-        return x.where(_may_link("_x", "_y", percent)).select("a", "b")
-
-    # 3. Everyone against the leader of each bucket: its smallest id, then its largest.
-    led = cut(bounded(met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()), "pairs")
+    full = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("doc_id").alias("root")).where("sets > 1").select("key", "root")
+    trees = cut(rows.join(full, "key").where("doc_id != root").select("root", "doc_id").distinct(), "trees")
+    point = cut(semi_by_id(points.select("doc_id", "n", "counts"), trees.select(F.explode(F.array("root", "doc_id")).alias("doc_id")).distinct(), "doc_id"), "points")
+    # 3. Everyone against the roots.
+    led = cut(bounded(trees.select(F.col("root").alias("a"), F.col("doc_id").alias("b")), point, percent), "pairs")
     links = cut(verify(led, docs, k, percent), "links")
-    own = cut(_mixed(met.select("key", "doc_id"), components(links)), "own")
-    last = own.groupBy("key").agg(F.max(F.struct("doc_id", "comp")).alias("last"))
-    second = own.join(last, "key").where("comp != last.comp").select(F.col("doc_id").alias("a"), F.col("last.doc_id").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    second = cut(bounded(second), "pairs")
-    links = cut(links.union(verify(second, docs, k, percent)), "links")
-    tried = led.union(second)
-    # 4. Buckets that hold several components: boxes, then their members.
-    left = cut(_mixed(own.select("key", "doc_id"), components(links)).join(point, "doc_id"), "left")
-    box = F.array(*[F.bit_or(F.col("bits")[i]) for i in range(WORDS)])
-    nodes = left.groupBy("key", "comp").agg(F.min("n").alias("n"), box.alias("bits"), F.max("over").alias("over"), F.count("*").alias("size"), F.min("doc_id").alias("only"))
-    x, y = side(nodes, "_x"), side(nodes, "_y")
-    # The side with fewer members is opened first, so that only it is expanded before the bound is tested.
-    smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("comp_x") < F.col("comp_y")))
-    opened = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & smaller & _enough(_bound("_x", "_y"), F.col("n_x"), F.col("n_y"), percent))
-    opened = cut(opened.select("key_x", "comp_x", "comp_y", "size_y", "only_x", "only_y"), "opened")
-    single = cut(bounded(opened.where("size_y = 1").select(F.col("only_x").alias("a"), F.col("only_y").alias("b")).distinct()), "single")
-    few = opened.where("size_y > 1").select("key_x", "comp_x", F.col("comp_y").alias("other")).join(side(left, "_x"), ["key_x", "comp_x"])
-    wide = few.join(side(left, "_y"), (F.col("key_x") == F.col("key_y")) & (F.col("other") == F.col("comp_y")) & _may_link("_x", "_y", percent)).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
-    rest = single.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = verify(rest, docs, k, percent)
+    # 4. Trees of several components.
+    comps = components(links)
+    open_ = trees.join(comps, trees.doc_id == comps.id, "left").select("root", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    rest = cut(grown(cut(open_, "open"), point, percent).join(led, ["a", "b"], "left_anti"), "pairs")
     # 5. All links, including the classes' own.
-    final = cut(components(links.select("a", "b").union(more)), "components")
-    got = members.join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return got.join(s.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "doc_id").select("doc_id", "n_shingles", "component_id").distinct()
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
+    texts = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = cut(components(links.union(verify(rest, docs, k, percent)).union(texts)), "components")
+    got = members.join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
+    return s.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(got, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).distinct()

@@ -13,10 +13,10 @@ __all__ = ["BROADCAST_IDS", "cut", "semi_by_id", "shared_base", "shared_dir"]
 BROADCAST_IDS = 500_000
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose ``key`` is (``left_semi``) or is not (``left_anti``) in the one-column ``ids``.
+def semi_by_id(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is (``left_semi``) or is not (``left_anti``) in ``ids``, which has its columns.
 
-    The ids go to all executors only if their counted number is at most ``BROADCAST_IDS`` (8 bytes each);
+    The ids go to all executors only if their counted number is at most ``BROADCAST_IDS`` (a few numbers each);
     otherwise both sides are shuffled.
     """
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
