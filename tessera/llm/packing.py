@@ -29,15 +29,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .shared import cut
 
 WINDOW = 1024
-#: Tokens of known words that one Python worker keeps.
-CACHE = 400_000
+#: Known words that one Python worker keeps, and the longest of them in bytes.
+CACHE, LONGEST = 1_500_000, 64
 # Fixed value: the word pattern of byte-level BPE.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What makes a word depend on its neighbours: white space of any kind, or the special token's string.
-_ODD = re.compile(r"[\s\x1c-\x1f\x85]|<\|endoftext\|>")
+_ODD = re.compile(r"[^\S \n]|<\|endoftext\|>")
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 0x0A]] = True
+#: Bytes that other white space begins with.
+_RISK = np.zeros(256, bool)
+_RISK[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def _ranked(path: str, vocab: dict[str, int]):
@@ -69,9 +75,10 @@ def _ranked(path: str, vocab: dict[str, int]):
 class Encoder:
     """Byte-level BPE ids of whole texts as little-endian 32-bit bytes, with a cache of words.
 
-    A space or line end between two other characters always starts a new word of this tokenizer, so such
-    words are encoded once. Texts with other white space, or with the special token's string, are given to
-    the tokenizer whole.
+    A space or line end between two other characters always starts a new word of this tokenizer, so a word
+    with its space or line end is encoded once, and a text's ids are gathered from its words' ids. Words are
+    known by a 64-bit hash of their bytes. Texts with other white space, with words of more than LONGEST
+    bytes, or with the special token's string, are given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -79,62 +86,96 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         # Ids whose text begins with a space or line end: in a run of words each word has one, at its start.
         vocab = self.tok.get_vocab()
         self.fast = _ranked(path, vocab)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t[:1] in "\u0120\u010a"]] = True
+        self._clear()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        many = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in many]
+    def _clear(self) -> None:
+        """No known words: their sorted hashes, where their ids begin in the pool, and how many (-1: not to be cut out)."""
+        self.keys, self.at, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, "<u4")
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that each begin with their space or line end, many encoded as one text."""
-        out: list[bytes] = []
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words, each of which begins with its space or line end: many encoded as one text. Returns
+        blocks of ids and of their numbers by word."""
+        ids, many = [], []
         for lo in range(0, len(words), 2000):
             own = words[lo : lo + 2000]
             text = "".join(own)
-            ids = np.array(self.fast.encode_ordinary(text) if self.fast else self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-            raw = ids.tobytes()
-            out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)] if len(at) == len(own) + 1 else self._ids(own)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        get = self.known.get
-        # First word, then the others with a line end in front if that, not a space, came before them.
-        cut_up = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [c[0] for c in cut_up]
-        first = self._ids(heads)
-        parts: list[list[bytes | None]] = []
-        gaps: list[tuple[int, int]] = []
-        whole: set[int] = set()
-        for i, c in enumerate(cut_up):
-            own = list(map(get, c))
-            own[0] = first[i]
-            if len(c) > 1 and (not c[0] or _ODD.search(c[0])):
-                whole.add(i)
-            elif None in own:
-                gaps += [(i, k) for k, x in enumerate(own) if x is None]
-            parts.append(own)
-        new = list({cut_up[i][k] for i, k in gaps})
-        odd = {w for w in new if not w.lstrip("\n") or _ODD.search(w, 1 if w[0] == "\n" else 0)}
-        good = [w for w in new if w not in odd]
-        self.known.update(zip(good, self._words([w if w[0] == "\n" else " " + w for w in good]), strict=True))
-        for i, k in gaps:
-            w = cut_up[i][k]
-            if w in odd:
-                whole.add(i)
+            got = np.array(self.fast.encode_ordinary(text) if self.fast else self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[got])
+            if len(at) == len(own):
+                ids.append(got)
+                many.append(np.diff(at, append=len(got)))
             else:
-                parts[i][k] = get(w)
-        rest = sorted(whole)
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
-            parts[i] = [ids]
-        return [b"".join(p) for p in parts]  # type: ignore[arg-type]
+                each = self._ids(own)
+                ids += each
+                many.append(np.array([len(x) for x in each]))
+        return ids, many
+
+    def _learn(self, keys: np.ndarray, words: list[str], odd: list[bool]) -> None:
+        """Add unknown words, each with its space or line end unless it opens a text; ``odd`` ones are not
+        to be cut out of their texts."""
+        inner = [w[0] in " \n" for w in words]
+        groups = [[i for i, x in enumerate(odd) if not x and inner[i]], [i for i, x in enumerate(odd) if not x and not inner[i]], [i for i, x in enumerate(odd) if x]]
+        ids, many = self._words([words[i] for i in groups[0]])
+        heads = self._ids([words[i] for i in groups[1]])
+        n = np.concatenate([*many, np.array([len(x) for x in heads], np.int64), np.zeros(len(groups[2]), np.int64)])
+        at = len(self.pool) + np.cumsum(n) - n
+        n[len(n) - len(groups[2]) :] = -1
+        self.pool = np.concatenate([self.pool, *ids, *heads])
+        every = np.concatenate([self.keys, keys[np.concatenate([np.array(g, np.int64) for g in groups])]])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.at, self.many = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.many, n.astype(np.int32)])[order]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text in turn; null texts are empty."""
+        for lo, hi, data, offsets in tx.chunks(texts):
+            yield from self._chunk(data, offsets, hi - lo)
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[bytes]:
+        gap = (data == 0x20) | (data == 0x0A)
+        s, e, first = tx.words(data, offsets, _GAP)
+        doc = np.repeat(np.arange(n), np.diff(first))
+        opening = np.zeros(len(s), bool)
+        opening[first[:-1][np.diff(first) > 0]] = True
+        begin = np.where(opening, s, s - 1)
+        # Texts whose spaces and line ends don't each stand between two words.
+        size, gaps = np.diff(offsets), np.concatenate([[0], np.cumsum(gap)])
+        whole = (gaps[offsets[1:]] - gaps[offsets[:-1]] != np.maximum(np.diff(first) - 1, 0)) | ((np.diff(first) == 0) & (size > 0))
+        some = np.flatnonzero(np.diff(first) > 0)
+        whole[some] |= s[first[:-1][some]] != offsets[:-1][some]
+        whole[doc[e - begin > LONGEST]] = True
+        use = ~whole[doc]
+        begin, e, doc = begin[use], e[use], doc[use]
+        key, spot, back = np.unique(tx.spans(tx.running(data), begin, e), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != key) if len(self.keys) else np.arange(len(key))
+        raw = data.tobytes()
+        if len(new):
+            ranges = zip(begin[spot[new]].tolist(), e[spot[new]].tolist(), strict=True)
+            words = [raw[i:j].decode("utf-8", "surrogatepass") for i, j in ranges]
+            some_odd = _RISK[data].any() or b"<|endoftext|>" in raw
+            self._learn(key[new], words, [_ODD.search(w) is not None for w in words] if some_odd else [False] * len(words))
+            at = np.searchsorted(self.keys, key)
+        start, many = self.at[at][back], self.many[at][back]
+        whole[doc[many < 0]] = True
+        many = np.maximum(many, 0)
+        total = np.cumsum(many, dtype=np.int64)
+        ids = self.pool[np.repeat(start - total + many, many) + np.arange(total[-1] if len(total) else 0)].tobytes()
+        ends = np.concatenate([[0], total])[np.searchsorted(doc, np.arange(n + 1))] * 4
+        odd = np.flatnonzero(whole).tolist()
+        rest = dict(zip(odd, self._ids([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "surrogatepass") for i in odd]), strict=True))
+        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            yield rest[i].tobytes() if i in rest else ids[lo:hi]
 
 
 def halves(length: int) -> list[int]:
@@ -153,32 +194,23 @@ def pieces(docs: DataFrame, path: str, window: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         seen = [0] * (window + 1)
         crc = zlib.crc32
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64()]
+        names = ["doc_id", "start", "length", "crc", "parts", "doc_tokens", "part", "rank"]
         for b in batches:
-            n = b.num_rows
-            lo = 0
-            sizes = pa.compute.coalesce(pa.compute.binary_length(b.column(1)), pa.scalar(0, pa.int32())).to_pylist()
-            while lo < n:
-                hi, room = lo, 4_000_000
-                while hi < n and (hi == lo or sizes[hi] <= room):
-                    room -= sizes[hi]
-                    hi += 1
-                rows: list[tuple] = []
-                ids = b.column(0).slice(lo, hi - lo).to_pylist()
-                for doc, got in zip(ids, enc.encode([t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]), strict=True):
-                    got += b"\0\0\0\0"
-                    total = len(got) // 4
-                    for start in range(0, total, window):
-                        own = got[4 * start : 4 * (start + window)]
-                        length, at, parts = len(own) // 4, 0, []
-                        for p in halves(length) if length < window else ():
-                            parts.append(crc(own[at : at + 4 * p]))
-                            at += 4 * p
-                        rows.append((doc, start, length, crc(own), parts, total, part, seen[length]))
-                        seen[length] += 1
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "crc", "parts", "doc_tokens", "part", "rank"])
-                lo = hi
+            rows: list[tuple] = []
+            for doc, got in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
+                got += b"\0\0\0\0"
+                total = len(got) // 4
+                for start in range(0, total, window):
+                    own = got[4 * start : 4 * (start + window)]
+                    length, at, parts = len(own) // 4, 0, []
+                    for p in halves(length) if length < window else ():
+                        parts.append(crc(own[at : at + 4 * p]))
+                        at += 4 * p
+                    rows.append((doc, start, length, crc(own), parts, total, part, seen[length]))
+                    seen[length] += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

@@ -68,3 +68,21 @@ def test_hot_length_is_cut():
     for _, size, seq, _ in spots:
         full[seq] = full.get(seq, 0) + size
     assert all(v & (v - 1) == 0 and v <= 1024 for v in full.values())
+
+
+def test_ids_of_made_up_texts(monkeypatch):
+    """The gathered ids are the tokenizer's, with odd white space, long words, and a cache that overflows."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(5)
+    alphabet = ["a", "b", "'", "s", "'s", "'ll", "1", "22", ".", "-", "ü", "日", "\U0001f600", "<|", "endoftext", "|>", "<|endoftext|>", "x" * 70, "́", "é"]
+    gaps = [" "] * 12 + ["\n"] * 4 + ["  ", "\t", " ", "\r\n", " ", "\x1c", "\x85", "\n\n", ""]
+    texts = ["".join(r.choice(gaps if i % 2 else alphabet) for i in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += [" ".join("".join(r.choices("abcdeü", k=r.randint(1, 8))) for _ in range(200)) for _ in range(100)] + [None]
+    monkeypatch.setattr(packing, "CACHE", 2000)
+    enc = packing.Encoder(tokenizer_path())
+    got = [x for lo in range(0, len(texts), 500) for x in enc.encode(pa.array(texts[lo : lo + 500], pa.string()))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [i for i, (x, y) in enumerate(zip(got, want, strict=True)) if x != y] == []
