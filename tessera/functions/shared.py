@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (one machine), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(shared_base, "local", None)
         if base is None:
             base = shared_base.local = "file://" + tempfile.mkdtemp(prefix="spark-")
