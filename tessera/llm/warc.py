@@ -1,6 +1,7 @@
 """WARC archives: written as monolithic gzip files, normalised to one gzip member per record, and read back.
 
-1. Records are written by the tasks, one whole-file gzip stream per part, as older crawlers left them.
+1. Records are written by the tasks as whole-file gzip streams, as older crawlers left them; a stream is
+   closed after about ARCHIVE bytes of payload.
 2. The normaliser takes one such file at a time, inflates its stream once in blocks, finds the records by
    their Content-Length, writes each as a gzip member of its own, and notes (record, offset, length) in a
    sidecar index beside the archive.
@@ -25,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir
+from .shared import BROADCAST_IDS, cut, shared_dir
 
 #: Bytes that are read or written at a time.
 BLOCK = 1 << 20
-#: Records that one task reads back.
-RECORDS = 2_000
+#: Records that one task reads back, and bytes of payload after which an archive is closed.
+RECORDS, ARCHIVE = 2_000, 256 << 20
+#: Parts of the rows of one payload, where the repeated payloads are too many to be sent to every task.
+SALTS = 32
 #: Fixed value of the format: the identical-payload-digest profile of revisit records.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -45,13 +48,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: int, url: str, kind: str, payload: bytes, sha: str, full: int, refers: int | None) -> bytes:
+def record(page: int | None, url: str, kind: str, payload: bytes, sha: str, full: int, refers: int | None) -> bytes:
     """One record. A revisit has no block; both kinds tell the full payload's size and digest."""
     body = payload if kind == "response" else b""
     head = [
         "WARC/1.0",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{sha}",
         f"X-Payload-Length: {full}",
@@ -119,41 +122,59 @@ def _name(task: str) -> str:
 
 
 def roles(pages: DataFrame, smallest: int) -> DataFrame:
-    """Payload, its size and digest, and record type of each row of ``pages(page_id, url, html)``."""
+    """(page_id, url, html, sha, payload_bytes, refers_to) of each row of ``pages(page_id, url, html)``.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([digest(x) for x in got], pa.string())], names=["page_id", "payload_bytes", "payload_digest"])
-
-    s = cut(pages.select(F.col("page_id").cast("long"), "html").mapInArrow(sums, "page_id long, payload_bytes long, payload_digest string"), "digests")
-    first = s.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"))
-    return s.join(first, ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    Rows stay where they are: only the payloads that repeat are gathered, as their digest, size and
+    smallest page_id, and sent to all tasks if they are at most BROADCAST_IDS by count. More are joined in
+    SALTS parts, so that a payload of very many pages doesn't meet in one task.
+    """
+    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("html"))
+    rows = rows.withColumn("sha", F.sha1("html")).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    same = rows.where(F.col("payload_bytes") >= smallest).groupBy("sha", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    same = cut(same, "repeated")
+    if same.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        joined = rows.join(F.broadcast(same), ["sha", "payload_bytes"], "left")
+    else:
+        salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(salted, ["sha", "payload_bytes", "salt"], "left")
+    later = F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))
+    return joined.select("page_id", "url", "html", "sha", "payload_bytes", F.when(later, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, smallest: int = 0) -> DataFrame:
-    """Write one monolithic archive per task and return their paths."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).join(roles(pages, smallest), "page_id")
+    """Write all rows into monolithic archives and return their paths and numbers of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
         system.create_dir(root, recursive=True)
-        path, out, z, n = "", None, zlib.compressobj(1, wbits=31), 0
+        done: list[tuple[str, int]] = []
+        out = z = None
+        path, n, size = "", 0, 0
+
+        def close() -> None:
+            out.write(z.flush())
+            out.close()
+            done.append((path, n))
+
         for b in batches:
-            for page, url, html, sha, size, refers in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for page, url, html, sha, full, refers in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if out is None:
-                    path = f"{root}/{_name('whole')}.warc.gz"
+                    path, n, size, z = f"{root}/{_name('whole')}.warc.gz", 0, 0, zlib.compressobj(1, wbits=31)
                     out = system.open_output_stream(path, compression=None)
                 kind = "response" if refers is None else "revisit"
                 url = url.replace("\r", "%0D").replace("\n", "%0A")
-                out.write(z.compress(record(page, url, kind, html.encode("utf-8", "surrogatepass"), sha, size, refers)))
-                n += 1
+                out.write(z.compress(record(page, url, kind, html, base64.b32encode(bytes.fromhex(sha)).decode(), full, refers)))
+                n, size = n + 1, size + len(html)
+                if size >= ARCHIVE:
+                    close()
+                    out = None
         if out is not None:
-            out.write(z.flush())
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], names=["path", "n"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.int64()))], names=["path", "n"])
 
-    return cut(rows.select("page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to").mapInArrow(run, "path string, n long"), "archives")
+    return cut(roles(pages, smallest).mapInArrow(run, "path string, n long"), "archives")
 
 
 INDEX = "path string, number long, offset long, size long"
@@ -184,8 +205,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 n = len(offsets)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], names=["path", "number", "offset", "size"])
 
-    # One archive a task: an archive is one stream.
-    return cut(archives.repartition(max(1, archives.count()), "path").mapInArrow(run, INDEX), "index")
+    # One archive a task: an archive is one stream of bounded size.
+    return cut(archives.repartitionByRange(max(1, min(20_000, archives.count())), "path").mapInArrow(run, INDEX), "index")
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block_bytes long"
@@ -196,7 +217,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(folder)
-        number = lambda urn: int(urn.removeprefix("<urn:page:").removesuffix(">"))
+
+        def number(urn: str) -> int | None:
+            digits = urn.removeprefix("<urn:page:").removesuffix(">")
+            return int(digits) if digits else None
+
         for b in batches:
             rows = []
             for path, start, end in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -231,8 +256,9 @@ def round_trip(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """Write, normalise and read back all rows of ``pages(page_id, url, html)``.
 
     Of records with equal payloads of at least ``smallest`` bytes the smallest page_id is a response and
-    the others revisit it. Null html is the empty payload, null urls are empty. ``page_id`` must not
-    repeat. Other columns are ignored. An empty table writes no archive and gives no rows.
+    the others revisit it. Null html is the empty payload, null urls are empty. Every row is a record:
+    rows that repeat the smallest page_id are responses too, and a row without page_id revisits the
+    smallest one that there is. Other columns are ignored. An empty table writes no archive and gives no rows.
     """
     folder = shared_dir(pages.sparkSession, "warc")
     return read(normalise(write(pages, folder, smallest), folder), folder)
