@@ -14,10 +14,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -165,6 +166,22 @@ def spell(cells: Cells, n: int, sizes: np.ndarray) -> list[str]:
     return [f"{sizes[i]}:" + base64.b64encode(b"".join(x[i].tobytes() for x in raw)).decode() for i in range(n)]
 
 
+#: Bytes of text in a range of ids, and the most ranges.
+RANGE, RANGES = 64 << 20, 10_000
+
+
+def _above(cuts: list[int], value: Column) -> Column:
+    """How many of the falling ``cuts`` are above ``value``: first by every w-th of them, then by the w behind it."""
+    if not cuts:
+        return F.lit(0)
+    w = isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + w] for i in range(0, len(cuts), w)]
+    count = lambda of: F.array_size(F.filter(of, lambda c: c > value))
+    block = count(F.lit([b[0] for b in blocks]))
+    inside = F.get(F.lit(blocks), block - 1)
+    return F.when(block == 0, 0).otherwise((block - 1) * w + count(inside))
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, only_before long, only_after long"
 
 
@@ -172,25 +189,27 @@ def versions(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of ``docs(doc_id, text)`` and of its edited text.
 
     The edited text has its last third replaced by the beginning of the next document, in falling order
-    of doc_id; after the last comes the first. Null counts as empty. Equal ids are ordered by text. Texts
-    cross the network once: rows are dealt into ranges of doc_id, and each range also gets the first row
-    of the next one. An empty table gives no rows.
+    of doc_id; after the last comes the first. Rows without a doc_id come last. Null texts count as empty.
+    Equal ids, also missing ones, are ordered by text. Every row gives a row. Texts cross the network once:
+    rows are dealt into ranges of doc_id of about RANGE bytes, and each range also gets the first row of the
+    next one. All rows of one id are one range, read as a stream. An empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    many = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = min(RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE))
     cuts = sorted(set(d.approxQuantile("doc_id", [i / many for i in range(1, many)], 0.1 / many)), reverse=True)
-    # Bucket 0 has the largest ids; a bucket's number counts the cuts above its ids.
-    bucket = F.lit(len(cuts)) - F.array_size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: F.col("doc_id") >= c)) if cuts else F.lit(0)
-    d = d.withColumn("bucket", bucket.cast("int"))
+    # Range 0 has the largest ids; a range's number counts the cuts above its ids.
+    d = d.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(_above([int(c) for c in cuts], F.col("doc_id"))).cast("int"))
     heads = d.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    # At most one row per bucket, and buckets are as many as shuffle partitions: bounded, not by the data.
+    # At most one row per range, and ranges are at most RANGES: bounded, not by the data.
     order = heads.orderBy("bucket").collect()
     goes = [(order[i]["head"], order[i - 1]["bucket"]) for i in range(len(order))]
     if not goes:
         return spark.createDataFrame([], OUT)
-    to = spark.createDataFrame(goes, "doc_id long, to int")
-    guests = d.join(F.broadcast(to), "doc_id").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("nth = 1")
+    to = spark.createDataFrame(goes, "head long, to int")
+    # The first row of a range: of its largest id (none, if it has no other), the smallest text.
+    guests = d.join(F.broadcast(to), d.doc_id.eqNullSafe(to["head"])).groupBy("doc_id", "to").agg(F.min("text").alias("text"))
     rows = d.select("bucket", F.lit(False).alias("guest"), "doc_id", "text").union(guests.select(F.col("to").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text"))
     dealt = rows.repartition(many, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
 
