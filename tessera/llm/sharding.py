@@ -2,9 +2,11 @@
 
 Arrivals are appended as small immutable Parquet shards. Compaction sorts the shards of the current
 manifest into tiers of similar size, cuts each tier into runs of about the target size, and rewrites
-every run of several shards as one. A new manifest version is committed by creating its pointer file,
-which succeeds for one writer only; readers follow the newest pointer, so they see all of a version or
-nothing of it. Shards that no longer belong to the version are removed afterwards.
+every run of several shards as one. A new manifest version is committed by renaming its finished pointer
+file to the version's name, which never replaces a file: it succeeds for one writer only, and readers,
+who follow the newest pointer, see all of a version or nothing of it. (A store whose rename checks first
+and moves then, such as a local disk, leaves an instant in which two writers could both succeed.) Shards
+that no longer belong to the version are removed afterwards.
 
 Shard files go to the shared folder under names that no other attempt uses. The manifest's entries are a
 table; the driver holds no more than the runs' bounds.
@@ -13,6 +15,7 @@ table; the driver holds no more than the runs' bounds.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -83,7 +86,7 @@ class Shards:
         if not fs.exists(path):
             return 0
         names = [f.getPath().getName() for f in fs.listStatus(path)]
-        return max([int(n[1:9]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
+        return max([int(n[1:9]) for n in names if re.fullmatch(r"v\d{8}\.json", n)], default=0)
 
     def _pointer(self, version: int) -> dict:
         text = self.spark.read.text(f"{self.folder}/manifest/v{version:08d}.json").first()[0]
@@ -100,10 +103,16 @@ class Shards:
         """Make ``entries`` the version after ``base``; fails if another writer was first."""
         table = f"{self.folder}/manifest/entries-{uuid.uuid4().hex}"
         entries.write.parquet(table)
-        fs, path = self._hadoop(f"v{base + 1:08d}.json")
-        out = fs.create(path, False)
+        fs, draft = self._hadoop(f"draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
         out.write(bytearray(json.dumps({"version": base + 1, "entries": table}).encode()))
         out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        once = gateway.new_array(rename, 1)
+        once[0] = rename.NONE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(draft, self._hadoop(f"v{base + 1:08d}.json")[1], once)
         return base + 1
 
     # Writing.
@@ -187,11 +196,16 @@ class Shards:
     # Reading.
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """All rows of a version, with shard_id (by smallest doc_id), shard_rows, level and row_in_shard."""
+        """All rows of a version, with shard_path, shard_rows, level and row_in_shard; where the documents
+        have a column of such a name, that is kept and the shard's gets underscores at its end."""
         folder = self.folder
         entries = self.entries(version)
         extra = [("shard_path", pa.string()), ("shard_rows", pa.int64()), ("level", pa.int32()), ("row_in_shard", pa.int64())]
         names = list(schema.names)
+        for i, (c, kind) in enumerate(extra):
+            while c.lower() in {n.lower() for n in names}:
+                c += "_"
+            extra[i] = (c, kind)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, _ = file_system(folder)
@@ -207,6 +221,7 @@ class Shards:
 
         from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-        out = StructType([*schema.fields, StructField("shard_path", StringType()), StructField("shard_rows", LongType()), StructField("level", IntegerType()), StructField("row_in_shard", LongType())])
+        kinds = [StringType(), LongType(), IntegerType(), LongType()]
+        out = StructType([*schema.fields, *[StructField(c, kind) for (c, _), kind in zip(extra, kinds, strict=True)]])
         many = max(1, min(20_000, entries.count()))
         return entries.select("path", "rows", "level").repartition(many, "path").mapInArrow(run, out)
