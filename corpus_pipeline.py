@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, packing, quality, toxicity
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.shared import semi_by_id, shared_dir
+from tessera.llm.shared import free, semi_by_id, shared_dir
 
 #: Scores from which a document is good, and toxic.
 GOOD, TOXIC = 0.3, 0.5
@@ -25,17 +25,22 @@ def _learn_on() -> Column:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject."""
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _learn_on())
-    return quality.score(docs, rules, "quality_score").where(F.col("quality_score") >= GOOD).select(*docs.columns)
+    own = free(docs, "quality_score")
+    return quality.score(docs, rules, own).where(F.col(own) >= GOOD).drop(own)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier doesn't find toxic."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _learn_on())
-    return toxicity.score(docs, model, "toxic_score").where(F.col("toxic_score") < TOXIC).select(*docs.columns)
+    own = free(docs, "toxic_score")
+    return toxicity.score(docs, model, own).where(F.col(own) < TOXIC).drop(own)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents that are linked by 5-word shingles at 0.8."""
+    """The smallest doc_id of each group of documents that are linked by 5-word shingles at 0.8.
+
+    Rows of one doc_id stand or fall together; rows without a doc_id are in no group and stay.
+    """
     groups = jaccard_components(docs, k=5, percent=80)
     return semi_by_id(docs, groups.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as tx
+from .shared import free
 
 #: Statistics of a text, in the order in which :func:`measure` makes them.
 STATS = ["n_bytes", "n_words", "mean_word", "upper", "digit", "mark", "symbol", "pipe", "bang", "space", "wide", "repeat_next", "distinct", "repeat_line", "mean_line", "ends_mark", "longest_word"]
@@ -95,9 +96,10 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def stats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and a struct column ``stats`` of the statistics of each whole text."""
-    docs = docs.drop("stats")
+def stats(docs: DataFrame, name: str = "stats") -> DataFrame:
+    """All columns of ``docs`` and a struct column ``name`` of the statistics of each whole text. A column
+    of the same name is replaced."""
+    docs = docs.drop(name)
     at = docs.columns.index("text")
     kind = pa.struct([(c, pa.float64()) for c in STATS])
 
@@ -106,9 +108,9 @@ def stats(docs: DataFrame) -> DataFrame:
             rows = [measure(data, offsets) for _, _, data, offsets in tx.chunks(b.column(at).cast(pa.string()))]
             x = np.concatenate(rows) if rows else np.zeros((0, len(STATS)))
             own = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(STATS))], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, "stats"])
+            yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("stats", StructType([StructField(c, DoubleType()) for c in STATS]))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(c, DoubleType()) for c in STATS]))]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]
@@ -226,6 +228,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = 12_
 def score(docs: DataFrame, rules: Rules, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1) of each whole text; null counts as empty.
 
-    Nothing is shuffled. A column of the same name, or named stats, is replaced.
+    Nothing is shuffled. A column of the same name is replaced. Every row, also one without a doc_id or
+    a repeated one, gets its text's score.
     """
-    return stats(docs.drop(name)).withColumn(name, rules.column()).drop("stats")
+    docs = docs.drop(name)
+    own = free(docs, "stats")
+    return stats(docs, own).withColumn(name, rules.column(own)).drop(own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_base, shared_dir
 
-__all__ = ["BROADCAST_IDS", "cut", "semi_by_id", "shared_base", "shared_dir"]
+__all__ = ["BROADCAST_IDS", "cut", "free", "semi_by_id", "shared_base", "shared_dir"]
 
 #: Rows of at most this many ids are sent to every executor; more are shuffled.
 BROADCAST_IDS = 500_000
@@ -21,3 +21,11 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "
     """
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores at its end, so that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

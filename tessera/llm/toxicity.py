@@ -174,7 +174,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1) of each whole text; null counts as empty.
 
-    Nothing is shuffled. A column of the same name is replaced.
+    Nothing is shuffled. A column of the same name is replaced. Every row, also one without a doc_id or
+    a repeated one, gets its text's score.
     """
     docs = docs.drop(name)
     at = docs.columns.index("text")

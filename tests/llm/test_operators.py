@@ -191,6 +191,18 @@ def test_warc(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_warc_repeated_and_missing_ids(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(warc, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(warc, "ARCHIVE", 1)
+    pages = [(1, "u", "a"), (1, "u", "a"), (None, "u", "zz"), (2, "u", "a"), (None, "v", "a"), (None, "w", "only"), (None, "w", "only")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(df).collect()), key=str)
+    want = [(1, "response", None, 1), (1, "response", None, 1), (None, "response", None, 2), (2, "revisit", 1, 1), (None, "revisit", 1, 1), (None, "response", None, 4), (None, "response", None, 4)]
+    assert got == sorted(want, key=str)
+
+
 # Sharding.
 def test_sharding(spark):
     docs = spark.createDataFrame([(i, f"text {i} " * (i % 50), None) for i in range(600)] + [(None, None, None)], "doc_id long, text string, level string").select("doc_id", "text").repartition(6)
@@ -212,6 +224,21 @@ def test_sharding(spark):
     assert sharding.Shards(spark, shared_dir(spark, "shards")).compact() == 0
 
 
+def test_sharding_clashing_columns_and_drafts(spark):
+    docs = spark.createDataFrame([(i, "x", "mine", 7) for i in range(20)], "doc_id long, text string, level string, SHARD_ROWS int")
+    s = sharding.Shards(spark, shared_dir(spark, "shards"))
+    s.append(docs)
+    # What a writer leaves that stops before its commit is no version.
+    fs, path = s._hadoop("draft-lost")
+    fs.create(path, False).close()
+    assert s.version() == 1
+    got = s.read(docs.schema)
+    assert got.columns == ["doc_id", "text", "level", "SHARD_ROWS", "shard_path", "shard_rows_", "level_", "row_in_shard"]
+    assert {tuple(r) for r in got.select("level", "SHARD_ROWS", "level_").collect()} == {("mine", 7, 0)}
+    assert s.append(docs) == 2
+    assert s.read(docs.schema).count() == 40
+
+
 # Fingerprints.
 def test_fingerprints(spark):
     texts = [None, "", "a", "One two. Three four.\nFive six! " * 30, "One two. Three four.\nFive six! " * 30, "é x\n" * 400, "q " * 700, "Other. Things. Here."]
@@ -231,6 +258,23 @@ def test_fingerprints(spark):
     assert fingerprint.versions(spark.createDataFrame([], TEXTS)).count() == 0
 
 
+@pytest.mark.parametrize("docs", [[(None, "a"), (None, "b"), (3, "c"), (3, "c")], [(None, "xyz"), (None, "abc")], [(i // 3, f"t{i} " * (i + 1)) for i in range(60)] + [(None, "n" * 9)] * 3])
+def test_fingerprints_of_repeated_and_missing_ids(spark, docs):
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, third = order[(k + 1) % len(order)][1], len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()))
+    got = fingerprint.versions(spark.createDataFrame(docs, TEXTS).repartition(3))
+    assert sorted(map(tuple, got.select("doc_id", "n_chars", "edited_sha256").collect()), key=str) == sorted(want, key=str)
+
+
+def test_range_numbers(spark):
+    cuts = sorted({random.Random(2).randrange(500) for _ in range(90)}, reverse=True)
+    got = spark.range(500).select("id", fingerprint._above(cuts, F.col("id")).alias("n")).collect()
+    assert [r.n for r in got] == [sum(c > r.id for c in cuts) for r in got]
+
+
 def test_peeling_recovers_digests():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 500, dtype=np.uint64)
