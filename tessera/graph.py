@@ -18,10 +18,16 @@ class Graph:
     >>> g.select([("?c", "t:inNation", "?n"), ("?n", "t:inRegion", "?r")], ["c", "r"])
     """
 
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None):
-        self.triples = triples.select("graph", "s", "p", "o")
+    def __init__(self, triples, prefixes: dict[str, str] | None = None):
+        """``triples`` is a DataFrame (graph, s, p, o) or a source that is asked by constants, such as
+        :class:`~tessera.sources.tables.Tables`."""
+        self.source = match.as_source(triples.select("graph", "s", "p", "o") if isinstance(triples, DataFrame) else triples)
         self.prefixes = PREFIXES | (prefixes or {})
 
+    @property
+    def triples(self) -> DataFrame:
+        return self.source.df if isinstance(self.source, match.Triples) else self.source.rows()
+
     @staticmethod
     def of(spark: SparkSession, rows: list[tuple[str, str, str]], graph: str = "main", prefixes: dict[str, str] | None = None) -> Graph:
         known = PREFIXES | (prefixes or {})
@@ -32,7 +38,7 @@ class Graph:
         return match.resolve(Query.of(where, select, graphs, unions), self.prefixes)
 
     def run(self, query: Query) -> DataFrame:
-        return match.select(self.triples, query)
+        return match.select(self.source, query)
 
     def select(self, where, select=(), graphs=(), unions=()) -> DataFrame:
         """Distinct bindings in each graph; rows of several graphs stand together."""
@@ -50,23 +56,25 @@ class Graph:
         return self.triples.select("graph").distinct()
 
     def out_edges(self, s: str, p: str | None = None) -> DataFrame:
-        t = self.triples.where(F.col("s") == self._x(s))
-        return t if p is None else t.where(F.col("p") == expand(p, self.prefixes, True))
+        return self.source.rows(s=self._x(s), p=self._p(p))
 
     def in_edges(self, o: str, p: str | None = None) -> DataFrame:
-        t = self.triples.where(F.col("o") == self._x(o))
-        return t if p is None else t.where(F.col("p") == expand(p, self.prefixes, True))
+        return self.source.rows(o=self._x(o), p=self._p(p))
 
     def predicates(self, node: str) -> DataFrame:
         x = self._x(node)
-        return self.triples.where((F.col("s") == x) | (F.col("o") == x)).select("p").distinct()
+        return self.source.rows(s=x).select("p").union(self.source.rows(o=x).select("p")).distinct()
 
     def endpoints(self, p: str) -> DataFrame:
-        return self.triples.where(F.col("p") == expand(p, self.prefixes, True)).select("graph", "s", "o").distinct()
+        return self.source.rows(p=self._p(p)).select("graph", "s", "o")
+
+    def neighbour_classes(self, cls: str) -> DataFrame:
+        """(p, other, n): the classes that subjects of a class have edges to, by predicate."""
+        return match.neighbour_classes(self.source, self._x(cls))
 
     def relation(self, path: Path | str) -> DataFrame:
         """All pairs that a path joins."""
-        return relation(self.triples, as_path(path).map(lambda t: expand(t, self.prefixes, True)))
+        return relation(self.source, as_path(path).map(lambda t: expand(t, self.prefixes, True)))
 
     def closed(self) -> Graph:
         """With everything that follows from inverse predicates and equal subjects."""
@@ -93,3 +101,6 @@ class Graph:
 
     def _x(self, t: str) -> str:
         return expand(t, self.prefixes)
+
+    def _p(self, p: str | None) -> str | None:
+        return None if p is None else expand(p, self.prefixes, True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 from ..functions.terms import INVERSE, SAME
+from .paths import union
 
 
 def inverse_pairs(triples: DataFrame) -> DataFrame:
@@ -31,31 +32,41 @@ def _equal(triples: DataFrame, pairs: DataFrame) -> DataFrame:
     return triples.join(pairs, ["graph", "s"]).select("graph", F.col("t").alias("s"), "p", "o")
 
 
+def _lacking(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Distinct ``rows`` that none of ``tables`` has. Only the part of a table that ``rows`` meet is looked at,
+    so that a small number of rows goes to a large table and not the other way round."""
+    cols = ["graph", "s", "p", "o"]
+    met = [t.select(*cols).join(rows, cols, "left_semi") for t in tables]
+    return rows.join(union(met), cols, "left_anti").distinct() if met else rows.distinct()
+
+
 def derive(known: DataFrame, new: DataFrame, inverse: bool = True, same: bool = True) -> DataFrame:
     """All triples that follow from ``known`` and ``new`` and are in neither, if ``known`` is complete alone.
 
-    Columns graph, s, p, o. Literals get no triples of their own as subjects.
+    Columns graph, s, p, o. Literals get no triples of their own as subjects. ``known`` is only read, and
+    joined whole only with rules that a round finds; what is written is new.
     """
     cols = ["graph", "s", "p", "o"]
-    front, base, found = new.select(*cols).distinct(), known.select(*cols), None
-    while True:
-        total = base.union(front)
+    front, found = new.select(*cols).distinct(), []
+    tables = [known.select(*cols)]
+    while inverse or same:
+        rules = front.where(F.col("p").isin([INVERSE] * inverse + [SAME] * same))
+        total = [*tables, front]
         out = []
         if inverse:
-            out += [_inverse(front, inverse_pairs(total)), _inverse(base, inverse_pairs(front))]
+            out.append(_inverse(front, inverse_pairs(union(total))))
         if same:
-            out += [_equal(front, equal_pairs(total)), _equal(base, equal_pairs(front))]
-        if not out:
-            return new.select(*cols).limit(0)
-        rows = out[0]
-        for x in out[1:]:
-            rows = rows.union(x)
-        rows = rows.where(~F.col("s").startswith('"')).distinct()
-        fresh = cut(rows.join(total, cols, "left_anti"), "derived")
+            out.append(_equal(front, equal_pairs(union(total))))
+        if not rules.isEmpty():
+            base = union(tables)
+            out += [_inverse(base, inverse_pairs(front))] * inverse + [_equal(base, equal_pairs(front))] * same
+        rows = cut(union(out).where(~F.col("s").startswith('"')).distinct(), "follows")
+        fresh = cut(_lacking(rows, total), "derived")
         if fresh.isEmpty():
-            return found if found is not None else fresh
-        found = fresh if found is None else found.union(fresh)
-        base, front = cut(total, "known"), fresh
+            break
+        found.append(fresh)
+        tables, front = total, fresh
+    return union(found) if found else new.select(*cols).limit(0)
 
 
 def closed(triples: DataFrame, inverse: bool = True, same: bool = True) -> DataFrame:
@@ -68,12 +79,14 @@ def closed(triples: DataFrame, inverse: bool = True, same: bool = True) -> DataF
 def added(known: DataFrame, new: DataFrame) -> tuple[DataFrame, bool]:
     """What to append to a complete graph when ``new`` arrives, and whether that is anything."""
     cols = ["graph", "s", "p", "o"]
-    fresh = cut(new.select(*cols).distinct().join(known, cols, "left_anti"), "fresh")
+    fresh = cut(_lacking(cut(new.select(*cols).distinct(), "arrived"), [known]), "fresh")
     more = cut(fresh.union(derive(known, fresh)), "added")
     return more, not more.isEmpty()
 
 
 def content(triples: DataFrame) -> DataFrame:
-    """(graph, n, digest): number and order-free digest of each graph's distinct triples."""
+    """(graph, n, digest): number and order-free digest of each graph's distinct triples: the sum of the first 60
+    bits of each one's MD5."""
     d = triples.select("graph", "s", "p", "o").distinct()
-    return d.groupBy("graph").agg(F.count("*").alias("n"), F.sum(F.xxhash64("s", "p", "o").cast("decimal(38,0)")).cast("string").alias("digest"))
+    part = F.conv(F.substring(F.md5(F.concat_ws("\t", "s", "p", "o")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return d.groupBy("graph").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))

@@ -20,8 +20,9 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def nodes(triples: DataFrame) -> DataFrame:
+def nodes(triples) -> DataFrame:
     """Every subject and object: (graph, n)."""
+    triples = triples.rows()
     return triples.select("graph", F.col("s").alias("n")).union(triples.select("graph", F.col("o").alias("n"))).distinct()
 
 
@@ -43,32 +44,46 @@ def closure(edges: DataFrame) -> DataFrame:
         total, new = cut(total.union(fresh), "closure"), fresh
 
 
+#: Hops that one round of a walk makes, and rounds after which the visited pairs become one table.
+HOPS, ROUNDS = 4, 8
+
+
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Pairs (s, o) of seeds ``(graph, n)`` and what one or more edges reach from them; only their part is walked."""
-    edges = cut(edges.distinct(), "edges")
-    start = seeds.select("graph", F.col("n").alias("s"), F.col("n").alias("o")).distinct()
-    rounds: list[DataFrame] = []
-    front = cut(compose(start, edges), "reach")
-    while not front.isEmpty():
-        rounds.append(front)
-        front = cut(compose(front, edges).join(union(rounds), ["graph", "s", "o"], "left_anti"), "reach")
-    return union(rounds) if rounds else front
+    """Pairs (s, o) of seeds ``(graph, n)`` and what one or more edges reach from them; only their part is walked.
+
+    A round makes HOPS hops in one job; what is new in its last hop is where the next one begins.
+    """
+    cols = ["graph", "s", "o"]
+    edges = cut(edges, "edges")
+    front = seeds.select("graph", F.col("n").alias("s"), F.col("n").alias("o")).distinct()
+    visited: list[DataFrame] = []
+    while True:
+        hops = [compose(front, edges)]
+        while len(hops) < HOPS:
+            hops.append(compose(hops[-1], edges))
+        rows = union([h.withColumn("hop", F.lit(i)) for i, h in enumerate(hops)]).groupBy(*cols).agg(F.min("hop").alias("hop"))
+        rows = cut(rows.join(union(visited), cols, "left_anti") if visited else rows, "reach")
+        visited.append(rows.select(*cols))
+        front = rows.where(F.col("hop") == HOPS - 1).select(*cols)
+        if front.isEmpty():
+            return union(visited)
+        if len(visited) == ROUNDS:
+            visited = [cut(union(visited), "reach")]
 
 
 def _flip(df: DataFrame) -> DataFrame:
     return df.select("graph", F.col("o").alias("s"), F.col("s").alias("o"))
 
 
-def relation(triples: DataFrame, path: Path, from_: DataFrame | None = None, to: DataFrame | None = None) -> DataFrame:
-    """All pairs (graph, s, o) that ``path`` joins.
+def relation(triples, path: Path, from_: DataFrame | None = None, to: DataFrame | None = None) -> DataFrame:
+    """All pairs (graph, s, o) that ``path`` joins; ``triples`` is asked by predicate (``rows(p=...)``).
 
     ``from_`` and ``to`` are known ends, (graph, n): only pairs that begin (end) there are asked for, and
     repeated paths are walked from there. A path that may be empty also joins every node of the graph, or
     every known end, with itself.
     """
     if path.op == "p":
-        out = triples.where(F.col("p") == path.parts[0]).select("graph", "s", "o").distinct()
-        return limit(out, from_, to)
+        return limit(triples.rows(p=path.parts[0]).select("graph", "s", "o"), from_, to)
     if path.op == "|":
         return union([relation(triples, p, from_, to) for p in path.parts]).distinct()  # type: ignore[arg-type]
     if path.op == "/":
