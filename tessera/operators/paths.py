@@ -31,17 +31,23 @@ def compose(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("o", "mid").join(b.select("graph", F.col("s").alias("mid"), "o"), ["graph", "mid"]).select("graph", "s", "o").distinct()
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All pairs that one or more edges join, by doubling: rounds grow as the logarithm of the longest path."""
-    edges = cut(edges.distinct(), "edges")
-    total, new = edges, edges
+def closure(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """All pairs that one or more edges join, by doubling: rounds grow as the logarithm of the longest path.
+
+    With ``known``, pairs that are closed by themselves, only what ``edges`` add to them is found.
+    """
+    cols = ["graph", "s", "o"]
+    new = edges.select(*cols).distinct()
+    new = cut(new if known is None else new.join(known, cols, "left_anti"), "edges")
+    added = [new]
     while True:
-        # A path of length n splits in two known ones, at least one of which is new in its round.
+        # A path splits in two known ones, at least one of which is new in its round.
+        total = union([*added, *([] if known is None else [known.select(*cols)])])
         longer = compose(new, total).union(compose(total, new)).distinct()
-        fresh = cut(longer.join(total, ["graph", "s", "o"], "left_anti"), "closure")
-        if fresh.isEmpty():
-            return total
-        total, new = cut(total.union(fresh), "closure"), fresh
+        new = cut(longer.join(total, cols, "left_anti"), "closure")
+        if new.isEmpty():
+            return union(added)
+        added.append(new)
 
 
 #: Hops that one round of a walk makes, and rounds after which the visited pairs become one table.
@@ -98,8 +104,13 @@ def relation(triples, path: Path, from_: DataFrame | None = None, to: DataFrame
             return compose(a, relation(triples, second, mid, to))  # type: ignore[arg-type]
         b = cut(relation(triples, second, None, to), "hop")  # type: ignore[arg-type]
         return compose(relation(triples, first, None, b.select("graph", F.col("s").alias("n")).distinct()), b)  # type: ignore[arg-type]
-    inner = relation(triples, path.parts[0])  # type: ignore[arg-type]
-    if path.op == "?":
+    # A source may keep closures of single predicates.
+    stored = getattr(triples, "closure", None) if path.op != "?" else None
+    plain = path.parts[0].op == "p"  # type: ignore[union-attr]
+    inner = relation(triples, path.parts[0]) if stored is None or not plain else None  # type: ignore[arg-type]
+    if inner is None:
+        hop = limit(stored(path.parts[0].parts[0]), from_, to)  # type: ignore[misc, union-attr]
+    elif path.op == "?":
         hop = limit(inner, from_, to)
     elif from_ is not None:
         hop = limit(reach(inner, from_), None, to)

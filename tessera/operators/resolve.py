@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import literal
@@ -24,6 +24,27 @@ def longest_prefix(rows: DataFrame, key: str, table: DataFrame, prefix: str = "p
     return rows.join(best, key, "left")
 
 
+def bits(address: Column) -> Column:
+    """A hexadecimal address of at most 16 digits, with any separators, as a text of its bits."""
+    digits = F.regexp_replace(address, "[^0-9A-Fa-f]", "")
+    return F.when(F.length(digits) > 0, F.lpad(F.conv(digits, 16, 2), 4 * F.length(digits), "0"))
+
+
+def prefix_table(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix, short, long) of files with lines ``prefix[/length] TAB short [TAB long]``; ``#`` begins a comment.
+
+    Prefixes are texts of bits, cut to their length if they state one, and meet :func:`bits` of an address in
+    :func:`longest_prefix`. Blank lines and lines without a prefix or a short name are left out.
+    """
+    line = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    cells = F.split("value", "\t")
+    cell = lambda i: F.nullif(F.trim(F.regexp_replace(F.get(cells, F.lit(i)), r"(?:^|\s)#.*$", "")), F.lit(""))
+    rows = line.select(cell(0).alias("head"), cell(1).alias("short"), cell(2).alias("long"))
+    length = F.regexp_extract("head", r"/\s*([0-9]+)$", 1).try_cast("int")
+    own = bits(F.regexp_replace("head", r"/.*$", ""))
+    return rows.select(F.when(length.isNull(), own).otherwise(F.substring(own, F.lit(1), length)).alias("prefix"), "short", "long").where("prefix is not null and short is not null")
+
+
 def resolve_entities(rows: DataFrame, known: DataFrame, predicate: str, key: str, minted: str = "urn:entity:") -> DataFrame:
     """``rows`` with a column entity: the known subject of (predicate, key) or a new one, minted from the key.
 

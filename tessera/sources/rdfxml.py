@@ -6,16 +6,18 @@ parseType Resource, Collection and Literal; containers (rdf:li); reification by
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from urllib.parse import urljoin
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF, TYPE
-from .turtle import _files
+from .turtle import ROWS, _files
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 _R = "{" + RDF + "}"
@@ -91,7 +93,7 @@ class _Reader:
                 o = cell
             return o
         if how is not None:
-            inner = (q.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in q)
+            inner = escape(q.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in q)
             return self.text(inner, None, RDF + "XMLLiteral")
         if (v := q.get(_R + "resource")) is not None:
             o = urljoin(base, v)
@@ -109,15 +111,27 @@ class _Reader:
             return o
         return self.text(q.text or "", lang, q.get(_R + "datatype"))
 
-    def read(self, text: str, base: str) -> list[tuple[str, str, str]]:
-        root = ET.fromstring(text)
+    def read(self, text: str, base: str) -> Iterator[list[tuple[str, str, str]]]:
+        parser = ET.XMLPullParser(["start-ns", "end"])
+        parser.feed(text)
+        parser.close()
+        root = None
+        for event, found in parser.read_events():
+            if event == "end":
+                root = found
+            elif found[0] and not re.fullmatch(r"ns\d+", found[0]):
+                # Markup inside literals keeps the file's own prefixes.
+                ET.register_namespace(*found)
         if root.tag == _R + "RDF":
             base, lang = urljoin(base, root.get(_XML + "base", "")), root.get(_XML + "lang")
             for e in root:
                 self.node(e, base, lang)
+                if len(self.rows) >= ROWS:
+                    yield self.rows
+                    self.rows = []
         else:
             self.node(root, base, None)
-        return self.rows
+        yield self.rows
 
 
 def read(spark: SparkSession, path: str, graph: str, base: str = "") -> DataFrame:
@@ -126,6 +140,7 @@ def read(spark: SparkSession, path: str, graph: str, base: str = "") -> DataFram
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for text, label in zip(f.text, f.label, strict=True):
-                yield pd.DataFrame(_Reader(label).read(text, base), columns=["s", "p", "o"])
+                for rows in _Reader(label).read(text, base):
+                    yield pd.DataFrame(rows, columns=["s", "p", "o"])
 
     return _files(spark, path).mapInPandas(run, "s string, p string, o string").select(F.lit(graph).alias("graph"), "s", "p", "o").distinct()

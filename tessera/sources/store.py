@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import PREFIXES
 from ..operators.inference import added, closed
-from ..operators.paths import union
+from ..operators.match import Triples
+from ..operators.paths import closure, union
 from . import lines, rdfxml, turtle
 
 TRIPLES = "graph string, s string, p string, o string"
@@ -117,6 +119,23 @@ class Store:
         """A backup is a store's folder: nothing has to be copied."""
         return Store(spark, path)
 
+    def source(self, *closures: str) -> StoreSource:
+        """The store to be asked by patterns; of the predicates ``closures``, repeated paths are kept in the store."""
+        return StoreSource(self, closures)
+
+    def closure(self, predicate: str) -> DataFrame:
+        """(graph, s, o): what one or more edges of ``predicate`` join, from the stored pairs of it.
+
+        Edges that came since are closed with the stored pairs, and only what they add is appended.
+        """
+        name = f"closures/{sha256(predicate.encode()).hexdigest()[:16]}"
+        known = self._table(name, "graph string, s string, o string")
+        edges = self.triples().where(F.col("p") == predicate).select("graph", "s", "o")
+        new = edges.join(known, ["graph", "s", "o"], "left_anti")
+        if not new.isEmpty():
+            closure(new, known).write.mode("append").parquet(f"{self.folder}/{name}")
+        return self._table(name, "graph string, s string, o string")
+
     def infer(self, graph: str) -> bool:
         """Append what follows within a graph whose triples were appended without inference."""
         t = self.triples(graph)
@@ -125,3 +144,18 @@ class Store:
         if changed:
             self.append(fresh)
         return changed
+
+
+class StoreSource(Triples):
+    """A store's triples as a source for patterns. Appends are of new triples only, so rows are distinct."""
+
+    def __init__(self, store: Store, closures: tuple[str, ...] = ()):
+        super().__init__(store.triples(), distinct=True)
+        self.store, self.closures = store, closures
+        if closures:
+            self.closure = self._closure
+
+    def _closure(self, predicate: str) -> DataFrame:
+        if predicate in self.closures:
+            return self.store.closure(predicate)
+        return closure(self.rows(p=predicate).select("graph", "s", "o"))

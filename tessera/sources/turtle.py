@@ -34,6 +34,10 @@ _TOKEN = re.compile(
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 
 
+#: Triples that a reader holds at a time.
+ROWS = 50_000
+
+
 class TurtleError(ValueError):
     """A text that is not Turtle, with the line."""
 
@@ -174,7 +178,7 @@ class _File:
             if not more or self.next[1] in (".", "]"):
                 return
 
-    def read(self) -> list[tuple[str, str, str]]:
+    def read(self) -> Iterator[list[tuple[str, str, str]]]:
         while self.next[0] != "end":
             kind, text, _ = self.next
             word = text.lstrip("@").lower()
@@ -199,7 +203,10 @@ class _File:
             if not (lone and self.next[1] == "."):
                 self.properties(s)
             self.expect(".")
-        return self.rows
+            if len(self.rows) >= ROWS:
+                yield self.rows
+                self.rows = []
+        yield self.rows
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -212,7 +219,8 @@ def read(spark: SparkSession, path: str, graph: str, base: str = "") -> DataFram
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for text, label in zip(f.text, f.label, strict=True):
-                yield pd.DataFrame(_File(text, label, base).read(), columns=["s", "p", "o"])
+                for rows in _File(text, label, base).read():
+                    yield pd.DataFrame(rows, columns=["s", "p", "o"])
 
     return _files(spark, path).mapInPandas(run, "s string, p string, o string").select(F.lit(graph).alias("graph"), "s", "p", "o").distinct()
 

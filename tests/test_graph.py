@@ -160,3 +160,47 @@ def test_empty(spark):
 def test_chunks_keep_the_last(spark):
     g = Graph.of(spark, [(f"n{i}", "p", "x") for i in range(11)])
     assert [len(c) for c in g.chunks([("?x", "p", "?y")], ["x"], 4)] == [4, 4, 3]
+
+
+def test_join_order():
+    """A cycle over three predicates is joined from the many-to-many one, along functional ones only."""
+    from tessera.operators.match import ordered
+    from tessera.plans.query import Pattern
+
+    where = [Pattern.of(x) for x in (("?o", "placedBy", "?c"), ("?c", "inNation", "?n"), ("?s", "inNation", "?n"), ("?o", "shippedBy", "?s"))]
+    got = ordered(where, {"placedBy", "inNation"})
+    assert str(got[0].p) == "shippedBy"
+    assert [(str(p.s), str(p.p)) for p in got[1:]] == [("?o", "placedBy"), ("?c", "inNation"), ("?s", "inNation")]
+
+
+def test_closure_of_known_pairs(spark):
+    from tessera.operators.paths import closure
+
+    r = random.Random(3)
+    edges = {(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(16)}
+    df = spark.createDataFrame([("g", a, b) for a, b in sorted(edges)], "graph string, s string, o string")
+    want = {(x.s, x.o) for x in closure(df).collect()}
+    first = closure(df.where("s < 'n3'"))
+    more = closure(df, first)
+    assert {(x.s, x.o) for x in first.union(more).collect()} == want
+    assert more.count() == len(want) - first.count()
+    assert closure(df, first.union(more)).count() == 0
+
+
+def test_constants_reach_the_scan(spark):
+    from tessera.sources.tables import Tables
+
+    d = "/root/testdata/sf0.001"
+    rows = Tables(spark, d, ["t:inNation", "t:segment"]).rows(s="c:42")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_custkey,42)" in plan
+    assert "Exchange" not in plan
+    assert rows.count() == 2
+    assert Tables(spark, d, ["t:inNation"]).rows(s="c:042").count() == 0
+    assert Tables(spark, d, ["t:inNation"]).rows(s="c:99999999999999999999").count() == 0
+    assert Tables(spark, d, ["t:segment"]).rows(o='"BUILDING"').count() > 0
+
+
+def test_neighbour_classes(plant):
+    got = {(r.p, r.other, r.n) for r in plant.neighbour_classes("t:Line").collect()}
+    assert got == {("t:feeds", "t:Cell", 2), ("t:fedBy", "t:Plant", 2), ("t:fedBy", "t:Cell", 1)}

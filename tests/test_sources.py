@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions.terms import RDF, TYPE, XSD
 from tessera.graph import Graph
@@ -143,3 +144,23 @@ def test_two_hops_of_views(spark, tmp_path):
     turn()
     assert sorted(r.s for r in three.triples("peer").collect()) == ["r1", "r2"]
     assert one.triples("main").count() == 3
+
+
+def test_markup_in_literals(spark, tmp_path):
+    text = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="urn:e#"><rdf:Description rdf:about="urn:a"><e:says rdf:parseType="Literal">a &lt; b <e:i>x &amp; y</e:i> end</e:says></rdf:Description></rdf:RDF>'
+    (tmp_path / "a.rdf").write_text(text)
+    o = read_rdf(spark, f"file://{tmp_path}/a.rdf", "g").first().o
+    assert o.startswith('"a &lt; b <e:i ')
+    assert o.endswith('>x &amp; y</e:i> end"^^http://www.w3.org/1999/02/22-rdf-syntax-ns#XMLLiteral')
+
+
+def test_prefix_table(spark, tmp_path):
+    from tessera.operators.resolve import bits, longest_prefix, prefix_table
+
+    lines = ["# vendors", "", "00:00:0C\tAbc\tAbc Works # the first", "00-1B-C5-00-00-00/36\tDef", "001BC5\tGhi\tGhi Ltd", "no name here", "00:1B:C5:00:10:00/36\tJkl # note", "70B3D5/0x\tbad length"]
+    (tmp_path / "p.txt").write_text("\n".join(lines))
+    table = prefix_table(spark, f"file://{tmp_path}/p.txt")
+    assert {(len(r.prefix), r.short, r.long) for r in table.where("short != 'bad length'").collect()} == {(24, "Abc", "Abc Works"), (36, "Def", None), (24, "Ghi", "Ghi Ltd"), (36, "Jkl", None)}
+    rows = spark.createDataFrame([("00:00:0c:01:02:03",), ("001bc5000abc",), ("001bc5001abc",), ("001bc5ffffff",), ("ffffffffffff",), ("",)], "mac string")
+    got = longest_prefix(rows.select("mac", bits(F.col("mac")).alias("key")), "key", table, value="short")
+    assert {r.mac: r.short for r in got.collect()} == {"00:00:0c:01:02:03": "Abc", "001bc5000abc": "Def", "001bc5001abc": "Jkl", "001bc5ffffff": "Ghi", "ffffffffffff": None, "": None}
