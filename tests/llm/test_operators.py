@@ -154,6 +154,50 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_features_against_plain_python(spark):
+    """Chosen features and scores recomputed in plain Python, and the same model from sums in Spark."""
+    docs, labels = _labelled(spark, "toxic")
+    held = F.col("doc_id") % 5 == 0
+    docs = docs.select("doc_id", "text")
+    docs = docs.union(docs.limit(3)).union(docs.selectExpr("doc_id", "repeat(coalesce(text, ''), 3000) text").limit(1)).union(docs.limit(1).selectExpr("cast(null as long)", "text"))
+    model = toxicity.learn(docs, labels.union(labels.limit(5)), ~held)
+
+    def own(text):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(text or "").encode())
+        return {(0, w) for w in words} | {(n, w[:n]) for w in words for n in toxicity.PREFIXES if len(w) >= n}
+
+    def key(f):
+        data = np.frombuffer(f[1], np.uint8)
+        got = toxicity.tx.spans(toxicity.tx.running(data), np.array([0]), np.array([len(data)]))
+        return int(got[0] ^ np.uint64(f[0] * 0x9E3779B97F4A7C15 % 2**64))
+
+    toxic = {r.doc_id for r in labels.where(~held & (F.col("toxic") == 1)).collect()}
+    rows = [r for r in docs.where(~held).collect() if r.doc_id is not None]
+    sets = [own(r.text) for r in rows]
+    pos = Counter(f for r, s in zip(rows, sets, strict=True) if r.doc_id in toxic for f in s)
+    n_pos, every = sum(r.doc_id in toxic for r in rows), Counter(f for s in sets for f in s)
+    share = labels.where(~held & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("t")).agg(F.avg("t")).first()[0]
+    want = set()
+    for f, c in pos.items():
+        p, u = c / n_pos, every[f] / len(rows)
+        if c >= 3 and p / (max(u - share * p, 0) / (1 - share) + 1 / len(rows)) >= 20:
+            want.add(key(f))
+    assert set(model.keys.tolist()) == want
+    weight = dict(zip(model.keys.tolist(), model.weights, strict=True))
+    for r in toxicity.score(docs, model).collect():
+        z = model.bias + sum(weight.get(key(f), 0.0) for f in own(r.text))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    # The sums of the risk by Spark jobs are those of the driver.
+    rows = spark.createDataFrame([([0, 2], 3), ([], 5), ([1], 2)], "has array<int>, n long").repartition(2)
+    w = np.array([0.5, -1.0, 2.0, 0.1])
+    here, there = toxicity.Patterns([[0, 2], [], [1]], np.array([3, 5, 2])).negative(w), toxicity.Spread(rows).negative(w)
+    assert there[0] == pytest.approx(here[0])
+    assert there[1] == pytest.approx(here[1])
+    assert sorted(zip(*toxicity.Spread(rows).values(w), strict=True)) == [(-0.9, 2), (0.1, 5), (2.6, 3)]
+    loss = sum(n * math.log1p(math.exp(z)) for n, z in ((3, 2.6), (5, 0.1), (2, -0.9)))
+    assert here[0] == pytest.approx(loss)
+
+
 def test_quality(spark):
     docs, labels = _labelled(spark, "quality")
     held = F.col("doc_id") % 5 == 0
