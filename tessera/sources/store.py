@@ -9,6 +9,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.terms import PREFIXES
 from ..operators.inference import added, closed
 from ..operators.match import Triples
@@ -103,7 +104,8 @@ class Store:
             return False
         files = bundle.data + bundle.ontologies
         if files:
-            self.add(union([read_rdf(self.spark, f, bundle.graph) for f in files]))
+            # Files are parsed once, whatever is asked of their triples.
+            self.add(cut(union([read_rdf(self.spark, f, bundle.graph) for f in files]), "loaded"))
             names = [turtle.prefixes(self.spark, f, bundle.graph) for f in files if f.endswith("ttl")]
             if names:
                 union(names).distinct().write.mode("append").parquet(f"{self.folder}/prefixes")
