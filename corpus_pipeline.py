@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, packing, quality, toxicity
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.shared import free, semi_by_id, shared_dir
+from tessera.llm.shared import free, release, semi_by_id, shared_dir
 
 #: Scores from which a document is good, and toxic.
 GOOD, TOXIC = 0.3, 0.5
@@ -75,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .shared import cut, semi_by_id
+from .shared import cut, release, semi_by_id
 
 #: Members of a root, or partners in verification, that one group of rows holds at most (about).
 STAR = 4096
@@ -59,7 +59,7 @@ def _differing(total: np.ndarray | int, percent: int):
 
 
 def _signatures(g: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
-    """Bucket keys of one set of distinct shingle hashes.
+    """Bucket keys (48 bits; equal keys of different groups only add candidates) of one set of distinct shingle hashes.
 
     Two linked sets have a key in common: in the size class of the larger one both have all their groups'
     keys. A set with too few filled groups to be sure of an untouched one adds its smallest hashes (prefix
@@ -90,7 +90,7 @@ def _signatures(g: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     if short:
         keep = n - (n * percent + 99) // 100 + 1
         out.append(tx.mix(np.sort(g)[:keep] ^ np.uint64(0xE7037ED1A0B428DB)))
-    return np.concatenate(out)
+    return np.concatenate(out) >> np.uint64(16)
 
 
 SETS = "doc_id long, n int, k1 long, k2 long, counts binary, keys array<long>"
@@ -346,12 +346,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # 2. Meeting places of more than one set, and the trees of their roots.
     points = semi_by_id(s.where("n > 0"), members.where("doc_id != rep").select("doc_id", "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"], "left_anti")
     rows = points.select("doc_id", F.explode("keys").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("doc_id").alias("root")).where("sets > 1").select("key", "root")
-    trees = cut(rows.join(full, "key").where("doc_id != root").select("root", "doc_id").distinct(), "trees")
+    full = cut(rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("doc_id").alias("root"), F.max("doc_id").alias("doc_id")).where("sets > 1"), "full")
+    # Where two sets meet, both are known; the members of larger places are looked up.
+    larger = rows.join(full.where("sets > 2").select("key", "root"), "key").select("root", "doc_id")
+    trees = cut(full.where("sets = 2").select("root", "doc_id").union(larger).where("doc_id != root").distinct(), "trees")
+    release(docs.sparkSession)
     point = cut(semi_by_id(points.select("doc_id", "n", "counts"), trees.select(F.explode(F.array("root", "doc_id")).alias("doc_id")).distinct(), "doc_id"), "points")
     # 3. Everyone against the roots.
     led = cut(bounded(trees.select(F.col("root").alias("a"), F.col("doc_id").alias("b")), point, percent), "pairs")
     links = cut(verify(led, docs, k, percent), "links")
+    release(docs.sparkSession)
     # 4. Trees of several components.
     comps = components(links)
     open_ = trees.join(comps, trees.doc_id == comps.id, "left").select("root", "doc_id", F.coalesce("component", "doc_id").alias("comp"))

@@ -167,13 +167,18 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def lasso(a: np.ndarray, y: np.ndarray, penalty: float = 0.002, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of a lasso-penalised logistic regression, by accelerated proximal gradient."""
     n, k = a.shape
-    rate = 1.0 / (0.25 * max(1e-9, np.linalg.norm(np.c_[a, np.ones(n)], 2) ** 2 / n))
+    # The steepest curvature: the largest eigenvalue of the columns' products, the intercept's included.
+    gram = np.zeros((k + 1, k + 1))
+    for lo in range(0, n, 1024):
+        block = np.c_[a[lo : lo + 1024], np.ones(len(a[lo : lo + 1024]))].astype(float)
+        gram += block.T @ block
+    rate = 1.0 / (0.25 * max(1e-9, float(np.linalg.eigvalsh(gram)[-1]) / n))
     w = np.zeros(k + 1)
     w[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     z, t = w.copy(), 1.0
     for _ in range(rounds):
-        r = 1 / (1 + np.exp(-np.clip(a @ z[:k] + z[k], -30, 30))) - y
-        new = z - rate * np.append(a.T @ r, r.sum()) / n
+        r = 1 / (1 + np.exp(-np.clip(a @ z[:k].astype(a.dtype) + z[k], -30, 30))) - y
+        new = z - rate * np.append(a.T @ r.astype(a.dtype), r.sum()) / n
         new[:k] = np.sign(new[:k]) * np.maximum(np.abs(new[:k]) - rate * penalty, 0)
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / s * (new - w), new, s
@@ -220,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = 12_
     order = np.lexsort(rows[STATS].to_numpy().T)
     x, y = rows[STATS].to_numpy()[order], y[order]
     rules = grow(x, y)
-    a = np.stack([holds(r, x) for r in rules], 1).astype(float) if rules else np.zeros((len(x), 0))
+    a = np.stack([holds(r, x) for r in rules], 1).astype(np.float32) if rules else np.zeros((len(x), 0), np.float32)
     w, intercept = lasso(a, y)
     return Rules([(r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-3], intercept)
 

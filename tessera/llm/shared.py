@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_base, shared_dir
 
-__all__ = ["BROADCAST_IDS", "cut", "free", "semi_by_id", "shared_base", "shared_dir"]
+__all__ = ["BROADCAST_IDS", "cut", "free", "release", "semi_by_id", "shared_base", "shared_dir"]
 
 #: Rows of at most this many ids are sent to every executor; more are shuffled.
 BROADCAST_IDS = 500_000
@@ -29,3 +31,13 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left behind.
+
+    Spark removes shuffle files and broadcasts of plans that nothing refers to any more, but only after the
+    driver's garbage collection found that out; between long steps it is asked to look.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

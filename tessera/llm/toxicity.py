@@ -28,7 +28,7 @@ from .shared import cut
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Patterns that the driver sums over itself.
-LOCAL = 200_000
+LOCAL = 50_000
 #: Steps of the fit, and their size.
 STEPS, RATE = 300, 0.1
 
