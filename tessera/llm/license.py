@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,12 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: A text without any of these (in any case) matches no rule.
-ANCHORS = ["licen", "copyright", "spdx", "public domain", "rights reserved", "hereby granted", "redistribut", "gpl", "commons", "cc0", "wtfpl", "noninfringement", "endorse", "cddl", "bsd", "without permission"]
-CC_ANCHOR = r"(?i)(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)(?![a-zA-Z0-9])"
+#: A text that lacks, for each of these, one of its words (in any case) and the beginning of a cc name matches no rule.
+ANCHORS = [
+    "licen", "copyright", "spdx", "public domain", "rights reserved", "hereby granted", "redistribut", "gpl", "commons", "cc0", "wtfpl", "noninfringement", "endorse", "cddl", "bsd",
+    "without permission", "prior written", "advertising materials", "apache org", "mozilla org", "not be removed", "strictly prohibited", "be reproduced", "commercial use only",
+]
+CC_ANCHOR = r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)"
 
 #: (label, keyword, name phrases). A version's digits are words of their own.
 FAMILIES = [
@@ -50,6 +55,8 @@ FAMILIES = [
     ("gfdl", "gnu", ["gnu free documentation license|licence"]),
     ("gpl-2", "gpl", ["gpl version? 2", "gplv2", "gpl v2"]),
     ("gpl-3", "gpl", ["gpl version? 3", "gplv3", "gpl v3"]),
+    ("0bsd", "0bsd", ["0bsd license?"]),
+    ("0bsd", "zero", ["zero clause bsd license?"]),
     ("bsd-2-clause", "bsd", ["bsd 2 clause license?", "simplified bsd license", "two clause bsd license?"]),
     ("bsd-3-clause", "bsd", ["bsd 3 clause license?", "new|modified bsd license", "three clause bsd license?"]),
     ("bsd-4-clause", "bsd", ["bsd 4 clause license?", "original bsd license", "four clause bsd license?"]),
@@ -94,43 +101,210 @@ FAMILIES = [
     ("cc-by-nc", "commons", ["creative commons attribution non commercial", "creative commons attribution noncommercial"]),
     ("cc-by-nc-sa", "commons", ["creative commons attribution non commercial share alike", "creative commons attribution noncommercial sharealike"]),
     ("cc-by-nc-nd", "commons", ["creative commons attribution non commercial no derivatives", "creative commons attribution noncommercial noderivatives|noderivs"]),
+    ("afl-3.0", "academic", ["academic free license version|v? 3 0"]),
+    ("osl-3.0", "open", ["open software license version|v? 3 0"]),
+    ("busl-1.1", "business", ["business source license 1? 1?"]),
+    ("sspl-1", "server", ["server side public license version? 1?"]),
+    ("elastic-2", "elastic", ["elastic license version? 2 0?"]),
+    ("polyform-nc", "polyform", ["polyform noncommercial license"]),
+    ("polyform-sb", "polyform", ["polyform small business license"]),
+    ("mulan-2", "mulan", ["mulan permissive software license version|v2? 2?"]),
+    ("ecl-2.0", "educational", ["educational community license version? 2 0"]),
+    ("upl-1.0", "universal", ["universal permissive license v|version? 1? 0?"]),
+    ("cpl-1.0", "common", ["common public license version|v? 1 0"]),
+    ("ipl-1.0", "ibm", ["ibm public license version|v? 1? 0?"]),
+    ("npl-1.1", "netscape", ["netscape public license version? 1? 1?"]),
+    ("edl-1.0", "eclipse", ["eclipse distribution license version|v? 1 0"]),
+    ("lppl", "latex", ["latex project public license"]),
+    ("qpl-1.0", "public", ["q public license version? 1? 0?"]),
+    ("ncsa", "ncsa", ["ncsa open source license", "university of illinois ncsa license"]),
+    ("w3c", "w3c", ["w3c software notice and license", "w3c software and document license"]),
+    ("unicode", "unicode", ["unicode license agreement", "unicode license v3"]),
+    ("vim", "vim", ["vim license"]),
+    ("beerware", "beer", ["beer ware license"]),
+    ("beerware", "beerware", ["beerware license"]),
+    ("json", "json", ["json license"]),
+    ("tcl", "tcl", ["tcl tk? license"]),
+    ("sleepycat", "sleepycat", ["sleepycat license"]),
+    ("zpl-2.1", "zope", ["zope public license version? 2 1", "zope public license"]),
+    ("cecill", "cecill", ["cecill license|licence"]),
+    ("cecill-b", "cecill", ["cecill b license|licence"]),
+    ("cecill-c", "cecill", ["cecill c license|licence"]),
+    ("ogl-uk", "government", ["open government licence|license"]),
+    ("ogl-uk-3.0", "government", ["open government licence|license version|v3 3? 0"]),
+    ("free-art", "art", ["free art license", "licence art libre"]),
+    ("opl", "publication", ["open publication license"]),
+    ("open-game", "game", ["open game license"]),
+    ("odc-by", "commons", ["open data commons attribution license"]),
+    ("pddl", "commons", ["open data commons public domain dedication and license"]),
+    ("hippocratic", "hippocratic", ["hippocratic license"]),
+    ("openrail", "openrail", ["openrail license", "openrail m license"]),
+    ("openrail", "rail", ["bigscience rail license"]),
+    ("openrail", "responsible", ["responsible ai license"]),
+    ("llama", "llama", ["llama 2|3|4 community license"]),
+    ("info-zip", "info", ["info zip license"]),
+    ("freetype", "freetype", ["freetype project? license"]),
+    ("ijg", "jpeg", ["independent jpeg group license"]),
 ]
 
-#: How a license is named: (phrase around the name, strength). Each family's names go through each form.
-FORMS = [
-    ("licensed|released|distributed|available|published under *4 {name}", 1.0),
-    ("subject to *3 terms of *2 {name}", 0.95),
-    ("under the? terms of the? {name}", 0.95),
-    ("spdx license identifier {name}", 1.0),
-    ("under the? {name}", 0.9),
-    ("{name}", 0.7),
-]
+#: How a grant is worded. With it a name is stronger, and it holds its ground against "licensed under some license".
+GRANT, GRANT_STRENGTH, NAME_STRENGTH = "licensed|released|distributed|available|published under *4 {name}", 1.0, 0.7
 
 # Identifiers as they stand behind "SPDX-License-Identifier", and their labels.
 SPDX = {
-    "mit": "mit", "apache 2 0": "apache-2", "apache 1 1": "apache-1.1", "gpl 2 0 only|or?": "gpl-2", "gpl 3 0 only|or?": "gpl-3", "lgpl 2 1 only|or?": "lgpl-2.1", "lgpl 3 0 only|or?": "lgpl-3", "agpl 3 0 only|or?": "agpl-3",
-    "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause", "mpl 2 0": "mpl-2.0", "epl 2 0": "epl-2.0", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "wtfpl": "wtfpl", "cc0 1 0": "cc0",
-    "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nc sa 4 0": "cc-by-nc-sa", "cc by nc nd 4 0": "cc-by-nc-nd", "bsl 1 0": "boost-1", "ofl 1 1": "ofl-1.1", "eupl 1 2": "eupl-1.2",
+    "0bsd": "0bsd", "afl 3 0": "afl-3.0", "agpl 3 0": "agpl-3", "apache 1 1": "apache-1.1", "apache 2 0": "apache-2", "artistic 1 0": "artistic", "artistic 2 0": "artistic-2", "blueoak 1 0 0": "blueoak-1",
+    "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause", "bsd 4 clause": "bsd-4-clause", "bsl 1 0": "boost-1", "busl 1 1": "busl-1.1", "cc by 3|4 0": "cc-by", "cc by nc 3|4 0": "cc-by-nc",
+    "cc by nc nd 3|4 0": "cc-by-nc-nd", "cc by nc sa 3|4 0": "cc-by-nc-sa", "cc by nd 3|4 0": "cc-by-nd", "cc by sa 3|4 0": "cc-by-sa", "cc0 1 0": "cc0", "cddl 1 0": "cddl-1.0", "cecill 2 1": "cecill",
+    "cpl 1 0": "cpl-1.0", "ecl 2 0": "ecl-2.0", "elastic 2 0": "elastic-2", "epl 1 0": "epl-1.0", "epl 2 0": "epl-2.0", "eupl 1 2": "eupl-1.2", "gfdl 1 2|3": "gfdl", "gpl 1 0": "gpl-1", "gpl 2 0": "gpl-2",
+    "gpl 3 0": "gpl-3", "hpnd": "hpnd", "isc": "isc", "lgpl 2 0": "lgpl-2", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "lppl 1 3c": "lppl", "mit": "mit", "mit 0": "mit-0", "mpl 1 1": "mpl-1.1",
+    "mpl 2 0": "mpl-2.0", "ms pl": "ms-pl", "ms rl": "ms-rl", "ncsa": "ncsa", "odbl 1 0": "odbl-1.0", "ofl 1 1": "ofl-1.1", "openssl": "openssl", "osl 3 0": "osl-3.0", "php 3 01": "php-3", "postgresql": "postgresql",
+    "psf 2 0": "python-2", "python 2 0": "python-2", "sspl 1 0": "sspl-1", "unlicense": "unlicense", "upl 1 0": "upl-1.0", "vim": "vim", "w3c": "w3c", "wtfpl": "wtfpl", "zlib": "zlib", "zpl 2 1": "zpl-2.1",
 }
 
-#: Notices and texts that tell a license by their wording: (label, keyword, phrase, strength).
+#: Notices and permission texts that tell a license by their wording: (label, keyword, phrase, strength).
 NOTICES = [
     ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software", 1.0),
+    ("mit", "sublicense", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", 1.0),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
+    ("mit", "authors", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 0.8),
     ("mit", "noninfringement", "fitness for a particular purpose and noninfringement", 0.6),
-    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("mit-0", "furnished", "sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 1.0),
+    ("x11", "dealings", "the name|names of *8 shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization", 1.0),
+    ("curl", "dealings", "the name of a copyright holder shall not be used in advertising or otherwise to promote the sale use or other dealings", 1.0),
+    ("icu", "appear", "the above copyright notice s? and this permission notice appear in all copies of the software and that", 0.9),
+    ("isc", "hereby", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("isc", "appear", "provided that the above copyright notice and this permission notice appear in all copies", 0.7),
+    ("0bsd", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", 1.0),
+    ("hpnd", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", 1.0),
+    ("hpnd", "supporting", "that both that copyright notice and this permission notice appear in supporting documentation", 0.9),
+    ("hpnd-sell", "hereby", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 1.0),
+    ("libtiff", "notices", "for any purpose is hereby granted without fee provided that i the above copyright notices and this permission notice appear", 1.0),
+    ("ntp", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", 1.0),
+    ("postgresql", "agreement", "this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 1.0),
+    ("libpng", "hereby", "permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee", 1.0),
+    ("ijg", "hereby", "permission is hereby granted to use copy modify and distribute this software or portions thereof for any purpose without fee", 1.0),
+    ("w3c", "royalty", "with or without modification for any purpose and without fee or royalty is hereby granted", 1.0),
+    ("unicode", "unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 1.0),
+    ("bitstream-vera", "fonts", "permission is hereby granted free of charge to any person obtaining a copy of the fonts accompanying this license", 1.0),
+    ("tcl", "authors", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose", 1.0),
+    ("fsfap", "royalty", "are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 1.0),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.9),
+    ("bsd", "retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.9),
+    ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions", 0.9),
+    ("bsd", "contributors", "this software is provided by the copyright holders and contributors as is", 0.8),
     ("bsd-3-clause", "endorse", "neither the name of *8 nor the names of its contributors may be used to endorse", 1.0),
-    ("apache-2", "apache", "you may not use this file except in compliance with the license", 0.8),
+    ("bsd-3-clause", "endorse", "the name of the author may not be used to endorse or promote products derived from this software", 0.9),
+    ("bsd-3-clause", "endorse", "the names of its contributors may not be used to endorse or promote products", 0.9),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement|acknowledgment", 1.0),
+    ("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license", 1.0),
+    ("bsd-2-clause-patent", "receiving", "each copyright holder and contributor hereby grants to those receiving rights under this license", 1.0),
+    ("ncsa", "disclaimers", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers", 1.0),
+    ("sleepycat", "accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code", 1.0),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 0.8),
+    ("apache-2", "apache", "www apache org licenses license 2 0", 1.0),
+    ("apache-2", "agreed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.9),
+    ("apache-2", "governing", "see the license for the specific language governing permissions and limitations under the license", 0.8),
+    ("apache-2", "contributor", "licensed to the apache software foundation asf? under one or more contributor license agreements", 1.0),
+    ("apache-2", "ownership", "see the notice file distributed with this work for additional information regarding copyright ownership", 0.9),
+    ("apache-2", "irrevocable", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 1.0),
+    ("apache-1.1", "apache", "the names apache *6 must not be used to endorse or promote products derived from this software", 0.9),
     ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
+    ("gpl", "received", "you should have received a copy of the gnu general public license along with", 0.9),
+    ("gpl", "details", "see the gnu general public license for more details", 0.8),
+    ("gpl-1", "foundation", "gnu general public license as published by the free software foundation either? version 1", 1.0),
+    ("gpl-2", "foundation", "gnu general public license as published by the free software foundation either? version 2", 1.0),
+    ("gpl-3", "foundation", "gnu general public license as published by the free software foundation either? version 3", 1.0),
+    ("gpl-2", "freedom", "the licenses for most software are designed to take away your freedom to share and change it", 0.9),
+    ("gpl-3", "freedom", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works", 0.9),
+    ("gpl-3", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works", 1.0),
+    ("gnu-license", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.7),
+    ("gpl-linking-exception", "exception", "as a special exception the copyright holders of this library give you permission to link", 1.0),
+    ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser|library general public license", 1.0),
+    ("lgpl", "received", "you should have received a copy of the gnu lesser|library general public license along with", 0.9),
+    ("lgpl", "details", "see the gnu lesser|library general public license for more details", 0.8),
+    ("lgpl-2", "foundation", "gnu library general public license as published by the free software foundation either? version 2", 1.0),
+    ("lgpl-2.1", "foundation", "gnu lesser general public license as published by the free software foundation either? version 2 1", 1.0),
+    ("lgpl-3", "foundation", "gnu lesser general public license as published by the free software foundation either? version 3", 1.0),
+    ("lgpl-3", "incorporates", "gnu lesser general public license incorporates the terms and conditions of version 3", 1.0),
+    ("agpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license", 1.0),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public license along with", 0.9),
+    ("agpl-3", "foundation", "gnu affero general public license as published by the free software foundation either? version 3", 1.0),
+    ("agpl-3", "copyleft", "the gnu affero general public license is a free copyleft license for software and other kinds of works", 1.0),
+    ("gfdl", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 1.0),
+    ("gfdl", "entitled", "a copy of the license is included in the section entitled gnu free documentation license", 0.9),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
+    ("mpl-2.0", "mozilla", "if a copy of the mpl was not distributed with this file you can obtain one at http|https mozilla org mpl 2 0", 1.0),
+    ("mpl-2.0-no-copyleft", "incompatible", "this source code form is incompatible with secondary licenses as defined by the mozilla public license", 1.0),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0", 1.0),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("epl-1.0", "accompanying", "the accompanying materials are made available under the terms of the eclipse public license v1 0", 1.0),
+    ("epl-2.0", "accompanying", "the accompanying materials are made available under the terms of the eclipse public license v? 2 0", 1.0),
+    ("cddl-1.0", "contents", "the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("cddl-1.0", "header", "cddl header start", 0.9),
+    ("cddl-1.0", "opensolaris", "a copy of the license at usr src opensolaris license", 1.0),
+    ("eupl", "licence", "you may not use this work except in compliance with the licence", 0.9),
+    ("eupl-1.2", "eupl", "licensed under the eupl version? 1 2", 1.0),
+    ("zlib", "anyone", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", 1.0),
+    ("zlib", "altered", "this notice may not be removed or altered from any source distribution", 0.9),
+    ("info-zip", "disclaimer", "to alter it and redistribute it freely subject to the above disclaimer", 1.0),
+    ("boost-1", "boost", "copy at http|https www boost org license 1 0 txt", 1.0),
+    ("boost-1", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
+    ("perl", "perl", "redistribute it and or modify it under the same terms as perl", 1.0),
+    ("ruby", "ruby", "redistribute it and or modify it under the same terms as ruby", 1.0),
+    ("ruby", "bsdl", "redistribute it and or modify it under either the terms of the 2 clause bsdl", 1.0),
+    ("artistic", "semblance", "such that the copyright holder maintains some semblance of artistic control", 1.0),
+    ("artistic-2", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 1.0),
+    ("python-2", "psf", "this license agreement is between the python software foundation psf", 1.0),
+    ("python-2", "beopen", "beopen python open source license agreement", 1.0),
+    ("php-3", "php", "this source file is subject to version 3 01? of the php license", 1.0),
+    ("php-3", "php", "may not be called php nor may php appear in their name without prior written permission", 1.0),
+    ("openssl", "openssl", "redistributions of any form whatsoever must retain the following acknowledgment *6 developed by the openssl project", 1.0),
+    ("openssl", "openssl", "the names openssl toolkit and openssl project must not be used to endorse", 1.0),
+    ("ssleay", "publically", "the licence and distribution terms for any publically available version or derivative of this code cannot be changed", 1.0),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1", 1.0),
+    ("ofl-1.1", "font", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 1.0),
+    ("ofl-1.1", "fonts", "the fonts including any derivative works can be bundled embedded redistributed and or sold", 0.9),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license", 0.9),
+    ("microsoft-terms", "microsoft", "microsoft software license terms", 0.9),
+    ("lppl", "latex", "may be distributed and or modified under the conditions of the latex project public license", 1.0),
+    ("cecill", "cecill", "this software is governed by the cecill license under french law", 1.0),
+    ("busl-1.1", "production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 1.0),
+    ("elastic-2", "licensor", "the licensor grants you a non exclusive royalty free worldwide non sublicensable non transferable license to use copy distribute make available and prepare derivative works", 1.0),
+    ("commons-clause", "clause", "commons clause license condition", 1.0),
+    ("mulan-2", "mulan", "licensed under mulan psl v2", 1.0),
+    ("freetype", "freetype", "portions of this software are copyright *4 the freetype project", 1.0),
+    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 1.0),
+    ("unlicense", "dedicate", "dedicate any and all copyright interest in the software to the public domain", 1.0),
+    ("unlicense", "perpetuity", "relinquishment in perpetuity of all present and future rights to this software under copyright law", 1.0),
+    ("wtfpl", "fuck", "do what the fuck you want to public license", 1.0),
+    ("cc0", "waived", "to the extent possible under law *8 waived all copyright and related or neighboring rights", 1.0),
+    ("cc0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright", 1.0),
+    ("cc0", "confer", "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights", 0.9),
+    ("cc0", "publicdomain", "creativecommons org publicdomain zero 1 0", 1.0),
+    ("public-domain", "publicdomain", "creativecommons org publicdomain mark 1 0", 0.9),
+    ("cc-by", "creativecommons", "creativecommons org licenses by 1|2|3|4 0|5", 1.0),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa 1|2|3|4 0|5", 1.0),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd 1|2|3|4 0|5", 1.0),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc 1|2|3|4 0|5", 1.0),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa 1|2|3|4 0|5", 1.0),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd 1|2|3|4 0|5", 1.0),
+    ("cc-by", "credit", "you must give appropriate credit provide a link to the license and indicate if changes were made", 0.8),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", 0.9),
     ("public-domain", "domain", "released|dedicated|placed|is *3 public domain", 0.9),
     ("public-domain", "domain", "public domain dedication|work", 0.8),
-    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 1.0),
+    ("crown", "crown", "crown copyright", 0.8),
+    ("non-commercial", "commercial", "for non commercial use only", 0.7),
+    ("non-commercial", "noncommercial", "for noncommercial use only", 0.7),
     ("all-rights-reserved", "reserved", "all rights reserved", 0.6),
+    ("all-rights-reserved", "reproduced", "no part of this *2 may be reproduced", 0.9),
     ("proprietary", "proprietary", "proprietary license|licence", 0.8),
+    ("proprietary", "copying", "unauthorized|unauthorised copying of this file via any medium is strictly prohibited", 0.9),
     ("proprietary", "redistribution", "no redistribution|reproduction without permission", 0.7),
-    ("unknown-license", "license", "licensed under *2 license", 0.3),
-    ("unknown-license", "licence", "licensed under *2 licence", 0.3),
-]
+    ("proprietary", "reproduction", "reproduction in whole or in part without *3 permission is strictly? prohibited", 0.8),
+]
+
+#: A license that no other rule names; these come last.
+UNNAMED = [("unknown-license", "license", "licensed under *2 license", 0.3), ("unknown-license", "licence", "licensed under *2 licence", 0.3)]
 
 
 def compile_phrase(phrase: str) -> str:
@@ -155,15 +329,13 @@ def rules() -> list[dict]:
 
     for name, label in SPDX.items():
         add(label, "spdx", f"spdx license identifier {name}", 1.0)
-    for label, keyword, phrase, strength in NOTICES[:-2]:
+    for label, keyword, phrase, strength in NOTICES:
         add(label, keyword, phrase, strength)
-    for form, strength in FORMS:
+    for form, strength in ((GRANT, GRANT_STRENGTH), ("{name}", NAME_STRENGTH)):
         for label, keyword, names in FAMILIES:
             for name in names:
-                versions = ["", " 4 0", " 3 0"] if label.startswith("cc-by") and form == "{name}" else [""]
-                for version in versions:
-                    add(label, keyword, form.format(name=name) + version, strength)
-    for label, keyword, phrase, strength in NOTICES[-2:]:
+                add(label, keyword, form.format(name=name), strength)
+    for label, keyword, phrase, strength in UNNAMED:
         add(label, keyword, phrase, strength)
     return out
 
@@ -206,9 +378,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = F.lower(raw)
-    gate = F.col("raw").rlike(CC_ANCHOR)
+    gate = F.col("low").rlike(CC_ANCHOR)
     for a in ANCHORS:
-        gate = F.col("low").contains(a) | gate
+        gate = reduce(and_, [F.col("low").contains(x) for x in a.split()]) | gate
     body = F.trim(F.regexp_replace(F.translate("raw", UPPER, LOWER), GAP, "  "))
     d = docs.select("doc_id", raw.alias("raw"), low.alias("low"))
     d = d.select("doc_id", F.regexp_count("raw", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), body, F.lit(" "))).alias("words"))

@@ -54,6 +54,27 @@ def test_license(spark):
         assert (r.base_labels, r["labels"], r.score) == (",".join(sorted(base)), ",".join(sorted(base | kept)), score)
 
 
+def test_every_rule_finds_its_own_wording(spark):
+    """Each rule decides something: its own wording, spread over lines, gives its label."""
+    rules = license.rules()
+    assert len({r["pattern"] for r in rules}) == len(rules)
+    texts = []
+    for r in rules:
+        phrase = re.sub(r"\(\?: \[\^ \]\+ \)\{0,\d+\}", "", r["pattern"])
+        texts.append(re.sub(r" +", "\n", re.sub(r"\(\?: \(\?:([^()|]*)[^()]*\) \)\??", r"\1 ", phrase).replace("\\", "")))
+    rows = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()}
+    assert [(texts[r["priority"]], r["label"]) for r in rules if r["label"] not in rows[r["priority"]]["labels"].split(",")] == []
+
+
+def test_license_repeated_rows_long_texts_and_empty_table(spark):
+    long = "filler words " * 200_000 + "Crown Copyright" + " more of them" * 10
+    docs = spark.createDataFrame([(1, "cc by nc"), (1, "cc by nc"), (None, "cc by nc"), (2, long)], TEXTS)
+    rows = sorted(tuple(r) for r in license.scan(docs.drop("doc_id").withColumn("doc_id", F.lit(1))).collect())
+    assert [r[1:] for r in rows[:3]] == [(3, 1, 0, 0, "cc-by-nc", "cc-by-nc", 0.9)] * 3
+    assert rows[3][1:] == (400_032, 0, None, None, "", "crown", 0.8)
+    assert license.scan(docs.limit(0)).count() == 0
+
+
 def test_every_rule_is_behind_an_anchor():
     for r in license.rules():
         phrase = re.sub(r"\(\?: \[\^ \]\+ \)\{0,\d+\}", "", r["pattern"])
