@@ -151,8 +151,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, r
     template only the windows that such a text still has count, and any occurrence will do: windows of one shift between document and item, those of
     neighbouring shifts (values of more or fewer words), or all of the document's. Items of fewer than
     WINDOW words are one window, looked up at every place of a document.
-    Items of equal text count as the one with the smallest id. Null and empty texts hold nothing. Ids
-    must not repeat; rows of a null id are left out. Either table may be empty.
+    Items of equal text count as the one with the smallest id. Null and empty texts hold nothing. Rows of
+    one doc_id are one document: it holds what any of its texts holds, and windows of all of them count
+    together. Rows of a null id are left out. Either table may be empty; other columns are ignored.
     """
     items = benchmark.where("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     marks = cut(windows(items, "item_id").select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), "able", F.col("slots").alias("item_slots")), "marks")

@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from tessera.llm import jaccard
 from tessera.llm.components import components
 from tessera.llm.jaccard import jaccard_components
 
@@ -71,3 +72,53 @@ def test_chain_components(spark):
 def test_repeated_rows_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(df, 4, 85).collect())) == [(1, 3, 1), (2, 3, 1)]
+
+
+def test_candidates_grow_with_the_rows(spark, monkeypatch):
+    """Near copies just under the threshold, in families and in one family: twice the rows give about twice
+    the pairs to verify, and no links."""
+    real, seen = jaccard.verify, []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verify", counted)
+
+    def family(r, first, n):
+        base = [f"{first}w{r.randrange(10**6)}" for _ in range(100)]
+        out = [" ".join(base)]
+        for _ in range(n - 1):
+            copy = list(base)
+            for at in (r.randrange(10, 45), r.randrange(55, 90)):
+                copy[at] = f"x{r.randrange(10**9)}"
+            out.append(" ".join(copy))
+        return out
+
+    for families in (10, 1):
+        found = []
+        for n in (100, 200):
+            r = random.Random(4)
+            texts = [t for f in range(families * n // 100 if families > 1 else 1) for t in family(r, f, 10 if families > 1 else n)]
+            seen.clear()
+            got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85)
+            assert got.where("component_id != doc_id").isEmpty()
+            found.append(sum(seen))
+        assert found[1] <= 3 * found[0] + 10, found
+        assert found[1] <= 2 * 200, found
+
+
+def test_very_long_texts(spark):
+    """Texts of far more shingles than a count of a group can hold."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    near, far = list(base), list(base)
+    for i in range(0, 60_000, 60):
+        near[i] = "n"
+    for i in range(0, 60_000, 30):
+        far[i] = "f"
+    docs = [(5, " ".join(base)), (3, " ".join(near)), (4, " ".join(far)), (9, "same " * 100_000), (8, "same " * 50_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(df, 4, 85).collect()}
+    assert got == brute(docs, 4, 85)
+    assert got[5][1] == 3

@@ -100,6 +100,60 @@ def test_language_model(spark):
     assert sum(x.score for x in rows.values()) > sum(x.base_score for x in rows.values())
 
 
+def test_scores_against_plain_python(spark, monkeypatch):
+    """Every score is the sum of its tokens' log probabilities, recomputed word by word from the network's
+    parameters; the probabilities of all classes after any two, and of all words of an ending, sum to one."""
+    r = random.Random(8)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randint(1, 6))) for _ in range(700)]
+    texts = [None, "", "unseen W1 zzz"] + [" ".join(r.choices(vocab, [1 / (i + 1) for i in range(700)], k=r.randint(1, 90))) for _ in range(150)] + ["long " * 30_000]
+    nets = []
+    learn = lm.fit_counts
+    monkeypatch.setattr(lm, "fit_counts", lambda *a: nets.append(learn(*a)) or nets[0])
+    frequent = 230
+    rows = {x.doc_id: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), TEXTS), F.col("doc_id") % 7 != 2, frequent=frequent).collect()}
+    tokens = {i: [*lowered(t or "").split(), None] for i, t in enumerate(texts)}
+    count = Counter(w for i, ws in tokens.items() if i % 7 != 2 for w in ws)
+
+    def hashed(w):
+        return int(lm.END if w is None else lm.tx.hash_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+
+    # Words with a class of their own: the most frequent, of those in whole classes of counts within the bound.
+    level, room = Counter(math.floor(math.log2(n) * 8) for n in count.values()), frequent
+    for lowest in sorted(level, reverse=True):
+        if (room := room - level[lowest]) < 0:
+            break
+        least = lowest
+    size = lm.own_words(len(count))
+    known = sorted((-n, np.int64(np.uint64(hashed(w))), w) for w, n in count.items() if w is not None and math.floor(math.log2(n) * 8) >= least)
+    own = {None: 0, **{w: i for i, (_, _, w) in enumerate(known[: size - 1], 1)}}
+    assert len(count) > len(own) > 20
+
+    def ending(w):
+        last, before = w.encode()[-1], w.encode()[-2] if len(w) > 1 else 0
+        return ((last * 257 + before) * 2654435761 % 2**32) >> 26
+
+    rest, kinds = Counter(), Counter()
+    for w, n in count.items():
+        if w not in own:
+            rest[ending(w)] += n
+            kinds[ending(w)] += 1
+    net = {k: v.astype(float) for k, v in nets[0].items()}
+
+    def after(one, two):
+        z = net["r"][one] @ net["m1"] @ net["q"].T + net["r"][two] @ net["m2"] @ net["q"].T + net["bias"]
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    for i, ws in tokens.items():
+        one, two, total, seen = 0, 0, 0.0, {}
+        for w in ws:
+            c = own[w] if w in own else size + ending(w)
+            if (one, two) not in seen:
+                seen[one, two] = after(one, two)
+            total += math.log10(seen[one, two][c]) + (0 if w in own else math.log10((count[w] + 1) / (rest[ending(w)] + kinds[ending(w)] + 1)))
+            one, two = c, one
+        assert rows[i].score == pytest.approx(total, rel=1e-4, abs=1e-3), i
+
+
 def test_language_model_edges(spark):
     assert lm.score(spark.createDataFrame([], TEXTS), F.lit(True)).count() == 0
     row = lm.score(spark.createDataFrame([(1, "a b"), (1, "a b")], TEXTS), F.lit(False)).collect()
@@ -234,6 +288,36 @@ def test_quality(spark):
     assert quality.score(docs.where("false"), rules).count() == 0
 
 
+def test_quality_against_plain_python(spark):
+    """Statistics recomputed in plain Python, and the compiled column against the rules themselves."""
+    docs, labels = _labelled(spark, "quality")
+    odd = [(3000, "One two two.\n\none  TWO | three!\nOne two two.\n", ""), (3001, " \n\t", ""), (3002, "\u00e9\u00c9 4,5 #x\r\n" * 20_000, ""), (None, "A a", ""), (3000, "twice", "")]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    rules = quality.learn(docs, labels.union(labels.limit(9)), F.col("doc_id") % 5 != 0)
+    assert len(rules.rules) > 1
+    share = lambda n, of: n / of if of else 0.0
+
+    def measured(t):
+        t = (t or "").encode()
+        words, lines = re.findall(rb"[^\x20\x09-\x0D]+", t), [x for x in t.split(b"\n") if x]
+        mark = lambda c: c < 128 and not chr(c).isalnum() and c not in b" \t\n\v\f\r"
+        return [
+            len(t), len(words), share(sum(map(len, words)), len(words)), share(sum(65 <= c < 91 for c in t), sum(chr(c).isalpha() for c in t if c < 128)),
+            share(sum(48 <= c < 58 for c in t), len(t)), share(sum(map(mark, t)), len(t)), share(sum(chr(c) in "#$%&*+<=>@[]^_`{|}~\\/" for c in t), len(t)), share(t.count(b"|"), len(words)),
+            share(t.count(b"!"), len(words)), share(sum(c in b" \t\n\v\f\r" for c in t), len(t)), share(sum(c > 127 for c in t), len(t)), share(sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words)),
+            share(len(set(words)), len(words)), share(len(lines) - len(set(lines)), len(lines)), share(len(t), len(lines)), share(sum(mark(w[-1]) for w in words), len(words)), max(map(len, words), default=0),
+        ]
+
+    rows = quality.score(quality.stats(docs, "own"), rules, "got").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = measured(r.text)
+        assert list(r.own) == pytest.approx(want), r.doc_id
+        x = np.array([list(r.own)])
+        z = rules.intercept + sum(w for rule, w in rules.rules if quality.holds(rule, x)[0] and all((x[0, j] > t) == up for j, up, t in rule))
+        assert r.got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # WARC.
 def test_warc(spark):
     pages = [(3, "http://a", "<p>é</p>"), (1, "http://b", "<p>é</p>"), (2, None, None), (5, "x\r\ny", ""), (9, "http://c", "WARC/1.0\r\n\r\n" * 9), (4, "http://d", "z" * 3_000_000)]
@@ -413,6 +497,17 @@ def test_short_and_number_dense_items(spark):
     assert _kinds(spark, docs, [short, asked, dense]) == {(0, 0): "same", (1, 1): "template", (2, 0): "same", (4, 2): "template"}
 
 
+def test_decontamination_of_repeated_and_missing_ids_and_long_texts(spark):
+    """Rows of one doc_id are one document, as if their texts stood in one; rows without an id are left out."""
+    plain = "the quick brown fox jumps over the lazy dog while seven wise owls look on in silence"
+    bench = spark.createDataFrame([(1, plain), (1, plain), (None, "another question that has eight words or more in it")], "item_id long, text string")
+    far = "filler words " * 150_000 + plain + " more of them" * 10
+    docs = [(1, far), (1, far), (2, "nothing of it"), (2, f"a page with {plain}"), (None, plain), (3, "another question that has eight words or more in it")]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], TEXTS + ", windows int, h string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.windows, r.same_windows, r.kind) for r in got) == [(1, 1, 10, 10, "same"), (2, 1, 10, 10, "same")]
+
+
 def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
     from tessera.llm import shared
 
