@@ -195,7 +195,7 @@ def start(share: np.ndarray, dims: int = 24, seed: int = 5) -> list[np.ndarray]:
     return params + [np.full(p.shape, 1e-2, f) for p in params]
 
 
-def descend(state: list[np.ndarray], share: np.ndarray, one: np.ndarray, two: np.ndarray, c: np.ndarray, n: np.ndarray, unit: float, passes: int, rng: np.random.Generator, noise: int = 64, batch: int = 4096, rate: float = 0.08) -> None:
+def descend(state: list[np.ndarray], share: np.ndarray, one: np.ndarray, two: np.ndarray, c: np.ndarray, n: np.ndarray, unit: float, passes: int, rng: np.random.Generator, noise: int = 64, batch: int = 512, rate: float = 0.08) -> None:
     """Noise-contrastive estimation with Adagrad on counts ``n`` of (one before, two before, class), in place.
 
     A batch's positions share their noise words, drawn from the unigram distribution. Every count is
