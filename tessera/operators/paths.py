@@ -31,23 +31,60 @@ def compose(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("o", "mid").join(b.select("graph", F.col("s").alias("mid"), "o"), ["graph", "mid"]).select("graph", "s", "o").distinct()
 
 
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """As :func:`compose`, each pair as often as it has a middle."""
+    return a.withColumnRenamed("o", "mid").join(b.select("graph", F.col("s").alias("mid"), "o"), ["graph", "mid"]).select("graph", "s", "o")
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """The closure of distinct ``edges``: ``exact`` has the pairs whose shortest path has 2^k edges, ``shorter`` those below.
+
+    A shortest path of 2^k to 2^(k+1) edges is cut behind its first 2^k, so few pairs are found more than once.
+    """
+    cols = ["graph", "s", "o"]
+    exact, shorter = edges, []
+    while True:
+        if shorter:
+            known = union([*shorter, exact])
+            more = _joined(exact, union(shorter)).distinct().join(known, cols, "left_anti")
+            shorter += [exact, cut(more, "closure")]
+        else:
+            shorter = [exact]
+        exact = cut(_joined(exact, exact).distinct().join(union(shorter), cols, "left_anti"), "closure")
+        if exact.isEmpty():
+            return union(shorter)
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """The closure of a table of distinct edges. Subjects that no edge leads to need no rounds: they reach their
+    objects and what these reach."""
+    cols = ["graph", "s", "o"]
+    led = edges.select("graph", F.col("o").alias("s")).distinct()
+    core = _doubled(cut(edges.join(led, ["graph", "s"], "left_semi").select(*cols), "edges"))
+    outer = cut(edges.join(led, ["graph", "s"], "left_anti").select(*cols), "edges")
+    several = cut(outer.groupBy("graph", "s").agg(F.count("*").alias("n")).where("n > 1").select("graph", "s"), "several")
+    if several.isEmpty():
+        # With one object each, all their pairs are different.
+        return union([core, outer, _joined(outer, core.where("s != o"))])
+    one, more = outer.join(several, ["graph", "s"], "left_anti").select(*cols), outer.join(several, ["graph", "s"], "left_semi").select(*cols)
+    return union([core, one, _joined(one, core.where("s != o")), more.union(_joined(more, core)).distinct()])
+
+
 def closure(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All pairs that one or more edges join, by doubling: rounds grow as the logarithm of the longest path.
+    """All pairs that one or more edges join, each once: rounds grow as the logarithm of the longest path.
 
     With ``known``, pairs that are closed by themselves, only what ``edges`` add to them is found.
     """
     cols = ["graph", "s", "o"]
     new = edges.select(*cols).distinct()
-    new = cut(new if known is None else new.join(known, cols, "left_anti"), "edges")
-    added = [new]
-    while True:
-        # A path splits in two known ones, at least one of which is new in its round.
-        total = union([*added, *([] if known is None else [known.select(*cols)])])
-        longer = compose(new, total).union(compose(total, new)).distinct()
-        new = cut(longer.join(total, cols, "left_anti"), "closure")
-        if new.isEmpty():
-            return union(added)
-        added.append(new)
+    if known is None or known.isEmpty():
+        return _closed(cut(new, "edges"))
+    known = known.select(*cols)
+    new = cut(new.join(known, cols, "left_anti"), "edges")
+    # A path with new edges is a known one or none, and then stretches of a new edge and a known path or none.
+    stretches = cut(new.union(_joined(new, known)).distinct(), "stretches")
+    found = cut(_closed(stretches), "closure")
+    return found.union(_joined(known, found)).distinct().join(known, cols, "left_anti")
 
 
 #: Hops that one round of a walk makes, and rounds after which the visited pairs become one table.
@@ -121,8 +158,9 @@ def relation(triples, path: Path, from_: DataFrame | None = None, to: DataFrame
     if path.op == "+":
         return hop
     ends = from_ if from_ is not None else to if to is not None else nodes(triples)
-    same = ends.select("graph", F.col("n").alias("s"), F.col("n").alias("o"))
-    return hop.union(limit(same, from_, to)).distinct()
+    same = limit(ends.select("graph", F.col("n").alias("s"), F.col("n").alias("o")).distinct(), from_, to)
+    # The pairs of a hop are distinct: only those of a node with itself can be there twice.
+    return hop.union(same.join(hop.where("s = o"), ["graph", "s", "o"], "left_anti"))
 
 
 def limit(rel: DataFrame, from_: DataFrame | None, to: DataFrame | None) -> DataFrame:

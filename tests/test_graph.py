@@ -204,3 +204,47 @@ def test_constants_reach_the_scan(spark):
 def test_neighbour_classes(plant):
     got = {(r.p, r.other, r.n) for r in plant.neighbour_classes("t:Line").collect()}
     assert got == {("t:feeds", "t:Cell", 2), ("t:fedBy", "t:Plant", 2), ("t:fedBy", "t:Cell", 1)}
+
+
+def _reached(edges: set) -> set:
+    """Pairs that one or more edges join, by plain Python."""
+    out = set(edges)
+    while more := {(a, d) for a, b in out for c, d in edges if b == c} - out:
+        out |= more
+    return out
+
+
+def test_closure_finds_few_pairs_twice(spark, monkeypatch):
+    """Chains, cycles and sources: each pair once, and joins that make about as many rows as there are pairs."""
+    from tessera.operators import paths
+
+    made = []
+
+    def counted(a, b, plain=paths._joined):
+        out = plain(a, b).cache()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "_joined", counted)
+    random.seed(5)
+    tree = {(f"n{i}", f"n{i // 2}") for i in range(1, 200)}
+    cycle = {(f"c{i}", f"c{i * 7 % 40}") for i in range(120)}
+    net = {(f"m{random.randrange(12)}", f"m{random.randrange(12)}") for _ in range(16)} | {("out", "m1"), ("out", "m2")}
+    for edges, most in ((tree, 1.1), (cycle, 1.6), (net, 5)):
+        made.clear()
+        got = [(r.s, r.o) for r in paths.closure(spark.createDataFrame([("g", *e) for e in sorted(edges)], "graph string, s string, o string")).collect()]
+        want = _reached(edges)
+        assert sorted(got) == sorted(want)
+        assert sum(made) <= most * len(want)
+
+
+def test_closure_of_known_pairs_with_cycles(spark):
+    from tessera.operators.paths import closure
+
+    random.seed(6)
+    for n in (6, 9, 14):
+        edges = sorted({(f"m{random.randrange(n)}", f"m{random.randrange(n)}") for _ in range(2 * n)})
+        df = lambda rows: spark.createDataFrame([("g", *e) for e in sorted(rows)], "graph string, s string, o string")
+        first = _reached(set(edges[::2]))
+        more = [(r.s, r.o) for r in closure(df(edges), df(first)).collect()]
+        assert sorted(more) == sorted(_reached(set(edges)) - first)
