@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The lexical rules of the formats.
-_IRI = r"<([A-Za-z][A-Za-z0-9+.-]*:(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*)>"
+# Runs of plain characters and escapes never give back what they took, so long terms need no deep stack.
+_IRI = r"<([A-Za-z][A-Za-z0-9+.-]*+:(?:[^\x00-\x20<>\"{}|^`\\]++|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+)>"
 _NODE = r"(_:[\p{L}0-9_](?:[\p{L}\p{N}_.-]*[\p{L}\p{N}_-])?)"
-_TEXT = r'("(?:[^"\\\n\r]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*")(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^' + _IRI + r")?"
+_TEXT = r'("(?:[^"\\\n\r]++|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+")(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^' + _IRI + r")?"
 STATEMENT = rf"^\s*(?:{_IRI}|{_NODE})\s*{_IRI}\s*(?:{_IRI}|{_NODE}|{_TEXT})\s*(?:(?:{_IRI}|{_NODE})\s*)?\.\s*(?:#.*)?$"
 #: Groups of the statement: subject (iri, node), predicate, object (iri, node, text, language, datatype), graph (iri, node).
 _S, _P, _O, _G = (1, 2), (3,), (4, 5, 6, 7, 8), (9, 10)
@@ -49,8 +50,11 @@ def read(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
     line = spark.read.text(path).select(F.col("value").alias("line"), F.crc32(F.input_file_name().cast("binary")).alias("file"))
     line = line.where(~F.col("line").rlike(r"^\s*(?:#.*)?$"))
     bad = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("line", 1, 200)))
-    rows = line.select(F.when(F.col("line").rlike(STATEMENT), F.col("line")).otherwise(bad).alias("line"), "file")
-    g = lambda i: F.regexp_extract("line", STATEMENT, i)
+    # One pass of the expression over a line: its groups, which hold no line ends, on a line each.
+    groups = "\n" + "".join(f"${i}\n" for i in range(1, 11))
+    rows = line.select("line", F.split(F.regexp_replace("line", STATEMENT, groups), "\n").alias("groups"), "file")
+    rows = rows.select(F.when(F.size("groups") == 12, F.col("groups")).otherwise(bad).alias("groups"), "file")
+    g = lambda i: F.col("groups")[i]
     node = lambda i: F.when(g(i) != "", F.concat(F.lit("_:f"), F.col("file"), F.lit("-"), F.substring(g(i), 3, 1 << 20)))
     iri = lambda i: F.when(g(i) != "", unescape(g(i)))
     text = F.concat(F.lit('"'), unescape(F.expr("substring(t, 2, length(t) - 2)")), F.lit('"'))
@@ -65,7 +69,8 @@ def spelled(c: Column) -> Column:
     parts = r'(?s)^"(.*)"(@[A-Za-z0-9-]+)?(?:\^\^(.+))?$'
     kind = F.regexp_extract(c, parts, 3)
     lit = F.concat(F.lit('"'), escape(F.regexp_extract(c, parts, 1)), F.lit('"'), F.regexp_extract(c, parts, 2), F.when(kind != "", F.concat(F.lit("^^<"), kind, F.lit(">"))).otherwise(""))
-    return F.when(c.startswith('"'), lit).when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    plain = F.concat(F.lit('"'), escape(F.substring(c, F.lit(2), F.length(c) - 2)), F.lit('"'))
+    return F.when(c.startswith('"') & c.endswith('"'), plain).when(c.startswith('"'), lit).when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
 
 
 def statements(triples: DataFrame, quads: bool = False) -> DataFrame:

@@ -164,3 +164,22 @@ def test_prefix_table(spark, tmp_path):
     rows = spark.createDataFrame([("00:00:0c:01:02:03",), ("001bc5000abc",), ("001bc5001abc",), ("001bc5ffffff",), ("ffffffffffff",), ("",)], "mac string")
     got = longest_prefix(rows.select("mac", bits(F.col("mac")).alias("key")), "key", table, value="short")
     assert {r.mac: r.short for r in got.collect()} == {"00:00:0c:01:02:03": "Abc", "001bc5000abc": "Def", "001bc5001abc": "Jkl", "001bc5ffffff": "Ghi", "ffffffffffff": None, "": None}
+
+
+def test_lines_are_matched_once(spark, tmp_path):
+    """Every group of a statement comes from one pass, and terms of many characters need no deep stack."""
+    long = "x" * 20000
+    said = [
+        f'<s:a> <p:b> "{long}" .',
+        f"<s:{long}> <p:b> <o:c> <g:d> .",
+        '_:a <p:b> "say \\"hi\\"\\n"@en-GB _:g . # end',
+        '<s:a><p:b>"5"^^<x:int>.',
+        "  ",
+        "<s:a> <p:b> _:c.d .",
+    ]
+    (tmp_path / "long.nq").write_text("\n".join(said))
+    df = lines.read(spark, f"file://{tmp_path}/long.nq", "main")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert "regexp_extract(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.graph if r.graph[0] != "_" else r.graph[-2:], r.s if r.s[0] != "_" else r.s[-2:], r.o if r.o[0] != "_" else r.o[-4:]) for r in df.collect()}
+    assert got == {("main", "s:a", f'"{long}"'), ("g:d", f"s:{long}", "o:c"), ("-g", "-a", '"say "hi"\n"@en-GB'), ("main", "s:a", '"5"^^x:int'), ("main", "s:a", "-c.d")}
