@@ -6,21 +6,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import literal
+from .paths import union
+
+
+#: Prefixes of the shortest lengths that are sent to all tasks, and rows whose keys one task tells apart.
+SENT, ROWS = 50_000, 500_000
 
 
 def longest_prefix(rows: DataFrame, key: str, table: DataFrame, prefix: str = "prefix", value: str = "value") -> DataFrame:
     """``rows`` with the ``value`` of the longest ``prefix`` of their ``key`` in ``table`` (null if none).
 
     For each length that occurs in the table a key has one beginning: equality joins, no ranges. The
-    lengths, at most the longest prefix, are the only thing that is collected.
+    lengths, at most the longest prefix, are the only thing that is collected. Short prefixes are few and many
+    keys share one, so they are sent to the keys; the number of tasks grows with the rows.
     """
-    lengths = sorted(r[0] for r in table.select(F.length(prefix)).where(f"length({prefix}) > 0").distinct().collect())
-    if not lengths:
+    own = table.where(F.length(prefix) > 0).groupBy(prefix).agg(F.min(value).alias(value))
+    counts = sorted(own.groupBy(F.length(prefix).alias("n")).agg(F.count("*").alias("c")).collect())
+    if not counts:
         return rows.withColumn(value, F.lit(None).cast(table.schema[value].dataType))
-    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    cuts = keys.select(key, F.explode(F.array(*[F.substring(key, 1, n) for n in lengths])).alias(prefix)).distinct()
-    found = cuts.join(table.groupBy(prefix).agg(F.min(value).alias(value)), prefix)
-    best = found.groupBy(key).agg(F.max_by(value, F.length(prefix)).alias(value))
+    short, total = [], 0
+    for n, c in counts:
+        total += c
+        if total <= SENT:
+            short.append(n)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    keys = rows.select(key).where(F.col(key).isNotNull()).repartition(tasks, key).distinct()
+
+    def found(lengths: list[int], sent: bool) -> DataFrame:
+        # Different lengths within the key give different beginnings.
+        fit = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(key))
+        cuts = keys.select(key, F.explode(fit).alias("_n")).select(key, F.substring(F.col(key), F.lit(1), F.col("_n")).alias(prefix))
+        own_here = own.where(F.length(prefix).isin(lengths))
+        return cuts.join(F.broadcast(own_here), prefix) if sent else cuts.join(own_here, prefix)
+
+    long = [n for n, _ in counts[len(short) :]]
+    parts = [found(ns, sent) for ns, sent in ((short, True), (long, False)) if ns]
+    best = union(parts).groupBy(key).agg(F.max_by(value, F.length(prefix)).alias(value))
     return rows.join(best, key, "left")
 
 

@@ -183,3 +183,22 @@ def test_lines_are_matched_once(spark, tmp_path):
     assert "regexp_extract(" not in df._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.graph if r.graph[0] != "_" else r.graph[-2:], r.s if r.s[0] != "_" else r.s[-2:], r.o if r.o[0] != "_" else r.o[-4:]) for r in df.collect()}
     assert got == {("main", "s:a", f'"{long}"'), ("g:d", f"s:{long}", "o:c"), ("-g", "-a", '"say "hi"\n"@en-GB'), ("main", "s:a", '"5"^^x:int'), ("main", "s:a", "-c.d")}
+
+
+def test_longest_prefix_sends_the_short_ones(spark, monkeypatch):
+    """Short prefixes are joined where the keys are, long ones by shuffle; a task has a bounded share of the rows."""
+    from tessera.operators import resolve
+
+    monkeypatch.setattr(resolve, "SENT", 4)
+    monkeypatch.setattr(resolve, "ROWS", 20)
+    table = ["", "1", "2", "12", "123", "1234", "77", "777", "é", "1é"]
+    keys = [str(i) for i in range(0, 2000, 7)] + ["1", "1", "1234567", "77", "7777", "", "éa", "1éa", None]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, key string")
+    got = longest_prefix(rows, "key", spark.createDataFrame([(p, "v" + p) for p in table], "prefix string, value string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    tasks = -(-len(keys) // 20)
+    assert f", {tasks}" in plan
+    want = {i: max((p for p in table if p and k is not None and k.startswith(p)), key=len, default=None) for i, k in enumerate(keys)}
+    assert {r.id: r.value for r in got.collect()} == {i: p and "v" + p for i, p in want.items()}
+    assert got.count() == len(keys)
