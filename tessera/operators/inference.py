@@ -32,40 +32,62 @@ def _equal(triples: DataFrame, pairs: DataFrame) -> DataFrame:
     return triples.join(pairs, ["graph", "s"]).select("graph", F.col("t").alias("s"), "p", "o")
 
 
+#: Rows up to which the part of a table that they meet is sought first.
+FEW = 1_000_000
+
+
 def _lacking(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """Distinct ``rows`` that none of ``tables`` has. Only the part of a table that ``rows`` meet is looked at,
-    so that a small number of rows goes to a large table and not the other way round."""
+    """Those of the distinct ``rows``, a written table, that none of ``tables`` has.
+
+    Of few rows only the part of a table that they meet is looked at, so that they go to a large table and not
+    the other way round.
+    """
     cols = ["graph", "s", "p", "o"]
-    met = [t.select(*cols).join(rows, cols, "left_semi") for t in tables]
-    return rows.join(union(met), cols, "left_anti").distinct() if met else rows.distinct()
+    tables = [t.select(*cols) for t in tables]
+    if tables and rows.count() <= FEW:
+        tables = [t.join(rows, cols, "left_semi") for t in tables]
+    return rows.join(union(tables), cols, "left_anti") if tables else rows
 
 
 def derive(known: DataFrame, new: DataFrame, inverse: bool = True, same: bool = True) -> DataFrame:
     """All triples that follow from ``known`` and ``new`` and are in neither, if ``known`` is complete alone.
 
-    Columns graph, s, p, o. Literals get no triples of their own as subjects. ``known`` is only read, and
-    joined whole only with rules that a round finds; what is written is new.
+    Columns graph, s, p, o; ``new`` has each triple once. Literals get no triples of their own as subjects.
+    ``known`` is only read, and joined whole only with rules that a round finds; what is written is new.
     """
     cols = ["graph", "s", "p", "o"]
-    front, found = new.select(*cols).distinct(), []
+    front, found = new.select(*cols), []
     tables = [known.select(*cols)]
+    turned = False
     while inverse or same:
-        rules = front.where(F.col("p").isin([INVERSE] * inverse + [SAME] * same))
+        rules = not front.where(F.col("p").isin([INVERSE] * inverse + [SAME] * same)).isEmpty()
         total = [*tables, front]
+        # Rules are a small table of their own: without any, nothing is joined.
+        swaps = cut(inverse_pairs(union(total)), "rules") if inverse else None
+        twins = cut(equal_pairs(union(total)), "rules") if same else None
         out = []
-        if inverse:
-            out.append(_inverse(front, inverse_pairs(union(total))))
-        if same:
-            out.append(_equal(front, equal_pairs(union(total))))
-        if not rules.isEmpty():
-            base = union(tables)
-            out += [_inverse(base, inverse_pairs(front))] * inverse + [_equal(base, equal_pairs(front))] * same
+        if swaps is not None and not swaps.isEmpty():
+            back = swaps
+            if turned and not rules:
+                # All of the front was turned by these pairs: with one partner, it would only turn back.
+                back = swaps.join(swaps.groupBy("graph", "p").agg(F.count("*").alias("n")).where("n > 1").select("graph", "p"), ["graph", "p"], "left_semi")
+            if back is swaps or not back.isEmpty():
+                out.append(_inverse(front, back))
+            if rules:
+                out += [_inverse(t, inverse_pairs(front)) for t in tables]
+        unequal = twins is None or twins.isEmpty()
+        if not unequal:
+            out.append(_equal(front, twins))
+            if rules:
+                out += [_equal(t, equal_pairs(front)) for t in tables]
+        if not out:
+            break
         rows = cut(union(out).where(~F.col("s").startswith('"')).distinct(), "follows")
         fresh = cut(_lacking(rows, total), "derived")
         if fresh.isEmpty():
             break
         found.append(fresh)
-        tables, front = total, fresh
+        tables, front, turned = total, fresh, unequal
     return union(found) if found else new.select(*cols).limit(0)
 
 
@@ -79,9 +101,11 @@ def closed(triples: DataFrame, inverse: bool = True, same: bool = True) -> DataF
 def added(known: DataFrame, new: DataFrame) -> tuple[DataFrame, bool]:
     """What to append to a complete graph when ``new`` arrives, and whether that is anything."""
     cols = ["graph", "s", "p", "o"]
-    fresh = cut(_lacking(cut(new.select(*cols).distinct(), "arrived"), [known]), "fresh")
-    more = cut(fresh.union(derive(known, fresh)), "added")
-    return more, not more.isEmpty()
+    fresh = cut(new.select(*cols).distinct(), "arrived")
+    if not known.isEmpty():
+        fresh = cut(_lacking(fresh, [known]), "fresh")
+    # Nothing new, nothing to follow; all parts are written already.
+    return (fresh.union(derive(known, fresh)), True) if not fresh.isEmpty() else (fresh, False)
 
 
 def content(triples: DataFrame) -> DataFrame:

@@ -22,10 +22,18 @@ TRIPLES = "graph string, s string, p string, o string"
 def read_rdf(spark: SparkSession, path: str, graph: str, fmt: str | None = None, base: str = "") -> DataFrame:
     """(graph, s, p, o) of files of one format: ttl, nt, nq or rdf; by the path's ending if not given."""
     fmt = fmt or path.rsplit(".", 1)[-1]
+    if fmt in ("nt", "nq"):
+        return _parsed(spark, path, graph, fmt, base).distinct()
+    return _parsed(spark, path, graph, fmt, base)
+
+
+def _parsed(spark: SparkSession, path: str, graph: str, fmt: str | None = None, base: str = "") -> DataFrame:
+    """As :func:`read_rdf`; a statement of N-Triples or N-Quads as often as it is there."""
+    fmt = fmt or path.rsplit(".", 1)[-1]
     if fmt in ("nt", "nq"):
         if base:
             raise ValueError("N-Triples and N-Quads know no base")
-        return lines.read(spark, path, graph).distinct()
+        return lines.read(spark, path, graph)
     if fmt in ("ttl", "turtle"):
         return turtle.read(spark, path, graph, base)
     if fmt in ("rdf", "xml", "owl"):
@@ -79,13 +87,13 @@ class Store:
 
         Only the graphs that ``triples`` has are read.
         """
-        new = triples.select("graph", "s", "p", "o").distinct()
+        new = triples.select("graph", "s", "p", "o")
         graphs = [r[0] for r in new.select("graph").distinct().collect()]
         known = self.triples(*graphs) if graphs else self.triples().limit(0)
         if infer:
             fresh, changed = added(known, new)
         else:
-            fresh = new.join(known, ["graph", "s", "p", "o"], "left_anti")
+            fresh = new.distinct().join(known, ["graph", "s", "p", "o"], "left_anti")
             changed = not fresh.isEmpty()
         if changed:
             self.append(fresh)
@@ -105,7 +113,7 @@ class Store:
         files = bundle.data + bundle.ontologies
         if files:
             # Files are parsed once, whatever is asked of their triples.
-            self.add(cut(union([read_rdf(self.spark, f, bundle.graph) for f in files]), "loaded"))
+            self.add(cut(union([_parsed(self.spark, f, bundle.graph) for f in files]), "loaded"))
             names = [turtle.prefixes(self.spark, f, bundle.graph) for f in files if f.endswith("ttl")]
             if names:
                 union(names).distinct().write.mode("append").parquet(f"{self.folder}/prefixes")

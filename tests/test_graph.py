@@ -248,3 +248,29 @@ def test_closure_of_known_pairs_with_cycles(spark):
         first = _reached(set(edges[::2]))
         more = [(r.s, r.o) for r in closure(df(edges), df(first)).collect()]
         assert sorted(more) == sorted(_reached(set(edges)) - first)
+
+
+def test_inference_turns_triples_once(spark, monkeypatch):
+    """Of an inverse predicate with one partner, what was turned is not turned back; without rules nothing is joined."""
+    from tessera.operators import inference
+
+    made = []
+    monkeypatch.setattr(inference, "cut", lambda df, name, plain=inference.cut: made.append(name) or plain(df, name))
+    g = Graph.of(spark, [("a", "p", "b"), ("b", "p", '"lit"'), ("p", "owl:inverseOf", "q")])
+    more, changed = added(g.triples.limit(0), g.triples)
+    assert changed
+    assert sorted((r.s, r.p, r.o) for r in more.where("p in ('p', 'q')").collect()) == [("a", "p", "b"), ("b", "p", '"lit"'), ("b", "q", "a")]
+    assert made.count("follows") == 1
+    made.clear()
+    plain = Graph.of(spark, [("a", "p", "b"), ("a", "p", "b")])
+    assert added(plain.triples.limit(0), plain.triples)[0].count() == 1
+    assert "follows" not in made
+
+
+def test_inference_over_several_partners(spark):
+    """p and r are both inverse to q, so each holds where the other does; chains of rules and equal subjects too."""
+    said = [("a", "p", "b"), ("p", "owl:inverseOf", "q"), ("r", "owl:inverseOf", "q"), ("c", "w", "d"), ("w", "owl:inverseOf", "w"), ("c", "owl:sameAs", "e"), ("d", "w", '"x"')]
+    g = Graph.of(spark, said)
+    got = {(r.s, r.p, r.o) for r in closed(g.triples).collect()}
+    pairs = {(s, p, o) for s, p, o in got if p in ("p", "q", "r", "w")}
+    assert pairs == {("a", "p", "b"), ("b", "q", "a"), ("a", "r", "b"), ("c", "w", "d"), ("d", "w", "c"), ("e", "w", "d"), ("d", "w", "e"), ("d", "w", '"x"')}
