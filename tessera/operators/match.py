@@ -107,6 +107,28 @@ def scan(triples, pattern: Pattern, bound: DataFrame | None = None) -> DataFrame
     return out.distinct() if any(t.startswith('"') for t in spots.values()) else out
 
 
+def _chains(order: list[Pattern], functional: set[str]) -> list[list[Pattern]]:
+    """The order with patterns put together that lead on from each other along functional predicates.
+
+    Such a chain is joined by itself, with a row per first subject, before it meets the many rows of a
+    pattern without constants; where constants bind few rows, every pattern stays alone.
+    """
+    alone = any(not _var(t) for p in order for t in (p.s, p.o))
+    out: list[list[Pattern]] = []
+    known: set[str] = set()
+    for p in order:
+        last = out[-1][-1] if len(out) > 1 else None
+        leads = last is not None and not alone and all(x.p.plain() in functional for x in (last, p)) and p.s == last.o
+        seen = known | {v for x in (out[-1] if out else []) for v in x.variables()}
+        # The middle must be bound by the chain alone and the end be new, else it joins elsewhere too.
+        if leads and p.s[1:] not in known and p.o[1:] not in seen:
+            out[-1].append(p)
+        else:
+            known |= {v for x in (out[-1] if out else []) for v in x.variables()}
+            out.append([p])
+    return out
+
+
 def bindings(triples, patterns: list[Pattern]) -> DataFrame:
     """Joined bindings of all patterns, per graph, each once; patterns without common variables make a product.
 
@@ -115,9 +137,13 @@ def bindings(triples, patterns: list[Pattern]) -> DataFrame:
     if not patterns:
         return triples.rows().select("graph").distinct()
     out = None
-    for p in ordered(patterns, triples.functional):
+    for p, *chain in _chains(ordered(patterns, triples.functional), triples.functional):
         rows = scan(triples, p, out)
-        if out is None:
+        if chain:
+            for x in chain:
+                rows = rows.join(scan(triples, x), ["graph", x.s[1:]])
+            out = out.join(rows, ["graph", *[v for v in rows.columns if v != "graph" and v in out.columns]])  # type: ignore[union-attr]
+        elif out is None:
             out = rows if p.variables() else rows.distinct()
         elif not p.variables():
             out = out.join(rows, "graph", "left_semi")

@@ -27,10 +27,13 @@ class Term:
     text: str = ""
     column: Column | None = None
 
-    def made(self) -> Column:
-        if self.kind:
-            return F.concat(F.lit(self.kind + ":"), F.expr(self.key).cast("string"))
-        return literal(F.col(self.text)) if self.text else self.column  # type: ignore[return-value]
+    def cell(self) -> Column:
+        """What the table has for the term: a key, a text or the term itself. Different cells are different terms."""
+        return F.expr(self.key) if self.kind else F.col(self.text) if self.text else self.column  # type: ignore[return-value]
+
+    def made(self, cell: Column | None = None) -> Column:
+        cell = self.cell() if cell is None else cell
+        return F.concat(F.lit(self.kind + ":"), cell.cast("string")) if self.kind else literal(cell) if self.text else cell
 
     def meets(self, term: str) -> Column | None:
         """The condition for being ``term``, on the table's own columns where it can be; None if it never is."""
@@ -107,6 +110,8 @@ class Tables:
         by_name: dict[str, list[Mapping]] = {}
         for name, m in self.mappings:
             by_name.setdefault(name, []).append(m)
+        #: Predicates with a single mapping: they share no pair with another.
+        self.sole = {name: len(ms) == 1 for name, ms in by_name.items()}
         #: Predicates of which a subject has one object.
         self.functional = {name for name, ms in by_name.items() if all(m.unique for m in ms) and len({m.s.kind for m in ms}) == len(ms)}
 
@@ -120,8 +125,14 @@ class Tables:
             t = m.read(self.spark, self.sf_dir)
             for x in conditions:
                 t = t.where(x)
-            parts.append(t.select(m.s.made().alias("s"), F.lit(name).alias("p"), m.o.made().alias("o")))
-            repeated = repeated or name not in self.functional
+            if name not in self.functional and self.sole[name]:
+                # Keys are shorter than terms: pairs are made distinct before their terms are made.
+                t = t.select(m.s.cell().alias("s"), m.o.cell().alias("o")).distinct()
+                s_term, o_term = m.s.made(F.col("s")), m.o.made(F.col("o"))
+            else:
+                s_term, o_term = m.s.made(), m.o.made()
+                repeated = repeated or name not in self.functional
+            parts.append(t.select(s_term.alias("s"), F.lit(name).alias("p"), o_term.alias("o")))
         if not parts:
             return self.spark.createDataFrame([], "graph string, s string, p string, o string")
         rows = union(parts).where("s is not null and o is not null").select(self.graph.alias("graph"), "s", "p", "o")

@@ -274,3 +274,24 @@ def test_inference_over_several_partners(spark):
     got = {(r.s, r.p, r.o) for r in closed(g.triples).collect()}
     pairs = {(s, p, o) for s, p, o in got if p in ("p", "q", "r", "w")}
     assert pairs == {("a", "p", "b"), ("b", "q", "a"), ("a", "r", "b"), ("c", "w", "d"), ("d", "w", "c"), ("e", "w", "d"), ("d", "w", "e"), ("d", "w", '"x"')}
+
+
+def test_functional_chains_are_joined_first(spark):
+    """Predicates that lead on from each other are joined before the many rows of a pattern without constants."""
+    from tessera.operators.match import _chains
+    from tessera.plans.query import Pattern
+
+    where = [Pattern.of(x) for x in (("?o", "shippedBy", "?s"), ("?o", "placedBy", "?c"), ("?c", "inNation", "?n"), ("?s", "inNation", "?n"))]
+    kinds = lambda ps: [[str(p.p) for p in c] for c in _chains(ps, {"placedBy", "inNation"})]
+    assert kinds(where) == [["shippedBy"], ["placedBy", "inNation"], ["inNation"]]
+    assert kinds([*where[:2], Pattern.of(("?c", "inNation", "n:1"))]) == [["shippedBy"], ["placedBy"], ["inNation"]]
+    assert kinds([where[0], Pattern.of(("?o", "inNation", "?o")), Pattern.of(("?o", "placedBy", "?c"))]) == [["shippedBy"], ["inNation"], ["placedBy"]]
+
+
+def test_pairs_are_distinct_before_their_terms(spark):
+    from tessera.sources.tables import Tables
+
+    rows = Tables(spark, "/root/testdata/sf0.001", ["t:shippedBy", "t:placedBy"]).rows()
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate")
+    assert rows.count() == rows.distinct().count()
